@@ -91,3 +91,16 @@ def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, work: Call
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return narrow.mapInArrow(run, out)
+
+
+def map_rows(df: DataFrame, text: str, work: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch]) -> DataFrame:
+    """Whole rows through `work`, which gets slices of rows with their texts (null as empty) and returns rows alike."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for a, b in slices(texts):
+                yield work(batch.slice(a, b - a), texts[a:b])
+
+    return df.mapInArrow(run, df.schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, slices
+from .common import map_rows, materialize, slices
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -203,17 +203,34 @@ def joined(spans: F.Column) -> F.Column:
     return F.array_join(F.transform(by_start, lambda s: F.concat_ws(":", name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(texts: list[str], spans: list[list[dict]]) -> list[str]:
-    """Each span replaced by its kind in brackets; overlapping spans become one, named after the first."""
-    out = []
-    for t, own in zip(texts, spans, strict=True):
-        parts, done = [], 0
-        for s in sorted(own, key=lambda s: (s["start"], -s["end"])):
-            if s["start"] >= done:
-                parts += [t[done : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-            done = max(done, s["end"])
-        out.append("".join([*parts, t[done:]]))
-    return out
+def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """Each span (start, kind, end) replaced by its kind in brackets; overlapping spans become one, named after the first."""
+    parts, done = [], 0
+    for a, k, b in sorted(spans, key=lambda s: (s[0], -s[2])):
+        if a >= done:
+            parts += [text[done:a], f"[{KINDS[k].upper()}]"]
+        done = max(done, b)
+    return "".join([*parts, text[done:]])
+
+
+def redacted(df: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars", min_seeds: int = 5, confidence: float = 0.8) -> DataFrame:
+    """The rows of `df`, all columns, with personal data in the text replaced by its kind; null texts stay null.
+
+    `length`, if there is such a column, is set to the new number of code points. Rows whose key is null get the base
+    rules only.
+    """
+    found = extract(df, key, text, min_seeds, confidence).where(F.size("more") > 0)
+    more = found.groupBy(F.col(key).alias("__key")).agg(F.flatten(F.collect_set("more")).alias("__more"))
+    rows = df.join(more, df[key] == more["__key"], "left").drop("__key")
+    at, extra = rows.columns.index(text), rows.columns.index("__more")
+
+    def work(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        given, added = batch.column(at).to_pylist(), batch.column(extra).to_pylist()
+        new = [None if g is None else redact(t, base_spans(t) + [(s["start"], s["kind"], s["end"]) for s in m or []]) for g, t, m in zip(given, texts, added, strict=True)]
+        return batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
+
+    out = map_rows(rows, text, work).drop("__more")
+    return out.withColumn(length, F.length(text).cast(df.schema[length].dataType)) if length in df.columns else out
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_rows, map_texts
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Terms that may stand in for one another in a sentence, by group; each is swapped for the next of its group.
@@ -223,10 +223,8 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
     """
 
     def work(texts: list[str]) -> list[list]:
-        key = id(model)
-        if _scorers.get("of") != key:
-            _scorers.update(of=key, f=model.scorer(), model=model)
-        s = [_scorers["f"](t) for t in texts]
+        f = scorer_of(model)
+        s = [f(t) for t in texts]
         return [s, [int(x >= 0.5) for x in s]]
 
     return map_texts(df, [key], text, "score double, predicted int", work)
@@ -235,6 +233,20 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
 _scorers: dict = {}
 
 
+def scorer_of(model: Model):
+    """The model's scorer with its word cache, one per worker."""
+    if _scorers.get("of") != id(model):
+        _scorers.update(of=id(model), f=model.scorer(), model=model)
+    return _scorers["f"]
+
+
+def keep_clean(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of `df`, all columns, whose text scores under 0.5."""
+    import pyarrow as pa
+
+    return map_rows(df, text, lambda rows, texts: rows.filter(pa.array([scorer_of(model)(t) < 0.5 for t in texts], pa.bool_())))
+
+
 def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
