@@ -104,3 +104,22 @@ def map_rows(df: DataFrame, text: str, work: Callable[[pa.RecordBatch, list[str]
                 yield work(batch.slice(a, b - a), texts[a:b])
 
     return df.mapInArrow(run, df.schema)
+
+
+def bitmap(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """A bitmap of hashed keys, in pieces of 32,768 bits: at most 2 ** bits / 8 bytes, however many keys there are."""
+    from pyspark.sql import functions as F
+
+    at = keys.select((F.pmod(F.xxhash64(key), F.lit(1 << bits)) + 1).alias("__h"))
+    return at.groupBy(F.bitmap_bucket_number("__h").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__h")).alias("__bitmap"))
+
+
+def maybe_in(df: DataFrame, key: str, bits: DataFrame, width: int) -> DataFrame:
+    """Rows whose key may be in a bitmap of `width` bits: those in it stay, few others do. The bitmap's size is fixed, so
+    it is broadcast."""
+    from pyspark.sql import functions as F
+
+    rows = df.withColumn("__h", F.pmod(F.xxhash64(key), F.lit(1 << width)) + 1).withColumn("__bucket", F.bitmap_bucket_number("__h")).withColumn("__at", F.bitmap_bit_position("__h"))
+    found = rows.join(F.broadcast(bits), "__bucket")
+    byte = F.conv(F.hex(F.substring("__bitmap", (F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return found.where(F.call_function("getbit", byte, (F.col("__at") % 8).cast("int")) == 1).select(df.columns)

@@ -4,6 +4,9 @@ A global order of n-grams, frequent ones last, is cut into fragments. Candidate
 in that order; their overlap is counted fragment by fragment, apart from one another, and summed per pair. Texts with
 the same set of n-grams are one class and compared once.
 
+Before texts are read again, the sizes of a pair's fragments bound its overlap from above: the smaller one of each
+fragment, summed. Pairs under the bound go.
+
 The result is whole without listing all pairs of a group of near copies. First every class is compared with one hub of
 each of its prefix n-grams; that joins most of a group. Then every prefix n-gram that still has classes of different
 components gives all pairs between different components, and those are compared as well. A pair that is never compared
@@ -22,13 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release, slices
+from .common import bitmap, materialize, maybe_in, release, slices
 from .components import components
 
 #: Buckets of the n-gram frequency table: a fixed size, whatever the corpus.
 BUCKET_BITS = 22
 #: N-grams met fewer times than this in repeats aren't set back in the order.
 FREQUENT = 16
+#: Ranges of fingerprints whose sizes are kept for every set.
+RANGES = 32
+#: Bits of the fixed-size bitmaps that thin out rows ahead of a shuffle.
+TOKEN_BITS, ID_BITS = 25, 23
 #: N-grams that a task counts at a time.
 COUNT_ROWS = 3_000_000
 
@@ -98,11 +105,12 @@ def batches_of_sets(batches: Iterator[pa.RecordBatch], n: int):
             yield keys.slice(lo, hi - lo), shingle_sets(texts[lo:hi], n)
 
 
-SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("bucket", T.IntegerType()), T.StructField("count", T.LongType())])
+SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("bucket", T.IntegerType()), T.StructField("count", T.LongType())])
 
 
 def sign(docs: DataFrame, n: int) -> DataFrame:
-    """In one pass over the texts: rows with id, n, sid (set size and fingerprint), and rows with bucket and count: how
+    """In one pass over the texts: rows with id, n, sid (set size and fingerprint) and
+    sizes (n-grams in each range of fingerprints), and rows with bucket and count: how
     often n-grams that repeat between different sets of a task were met."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -114,14 +122,16 @@ def sign(docs: DataFrame, n: int) -> DataFrame:
         bucket, at = np.unique((every[often] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), return_inverse=True)
         total = np.bincount(at, times[often], len(bucket)).astype(np.int64)
         none = pa.nulls(len(bucket), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.array(bucket), pa.array(total)], schema=arrow)
+        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(bucket), arrow.field("sizes").type), pa.array(bucket), pa.array(total)], schema=arrow)
 
     def run(batches):
         held, size, seen = [], 0, set()
         for keys, sets in batches_of_sets(batches, n):
             sids = [fingerprint(s) if len(s) else None for s in sets]
             none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), none.cast(pa.int32()), none.cast(pa.int64())], schema=arrow)
+            sizes = np.stack([ranges(s) for s in sets]).ravel().astype(np.int32) if sets else np.empty(0, np.int32)
+            sizes = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * RANGES), pa.array(sizes)).cast(arrow.field("sizes").type)
+            yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), sizes, none.cast(pa.int32()), none.cast(pa.int64())], schema=arrow)
             for s, sid in zip(sets, sids, strict=True):
                 if sid is not None and sid not in seen:
                     seen.add(sid)
@@ -136,6 +146,14 @@ def sign(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, SIGNED)
 
 
+def ranges(s: np.ndarray) -> np.ndarray:
+    """How many n-grams of a sorted set fall into each range of fingerprints."""
+    return np.diff(np.searchsorted(s, EDGES), append=len(s))
+
+
+EDGES = np.arange(RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1)
+
+
 def levels(counts: DataFrame) -> np.ndarray:
     """Frequency class of every bucket, 0 for rare ones: a table of fixed size."""
     table = np.zeros(1 << BUCKET_BITS, np.uint8)
@@ -184,8 +202,11 @@ def postings(docs: DataFrame, sent: Broadcasts, n: int, percent: int) -> DataFra
                 if sid is None or sid in seen:
                     continue
                 seen.add(sid)
-                ordered, level = in_order(s, table)
+                level = table[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                 p = len(s) - -(-percent * len(s) // 100) + 1
+                ordered = s[level == 0]
+                if len(ordered) < p:
+                    ordered, _ = in_order(s, table)
                 tokens.append(signed(ordered[:p]))
                 places.append(np.arange(p, dtype=np.int32))
                 sids.append(np.full(p, sid, np.int64))
@@ -230,15 +251,22 @@ def fragments(docs: DataFrame, sent: Broadcasts, n: int, cuts: int) -> DataFrame
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sent: Broadcasts, n: int, percent: int, cuts: int) -> DataFrame:
     """The pairs (a, b, na, nb) that reach the threshold: partial overlaps per fragment, summed per pair."""
-    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    texts = docs.join(needed.join(classes, "sid").select(F.col("rep").alias("id")), "id", "left_semi")
+    size_of = lambda c: classes.select(F.col("sid").alias(c), F.col("sizes").alias(f"s{c}"))
+    most = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    bounded = pairs.join(size_of("a"), "a").join(size_of("b"), "b").where((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
+    pairs = materialize(bounded.select("a", "b", "na", "nb"), "jac-bounded")
+    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(classes, "sid").select(F.col("rep").alias("id"))
+    needed = materialize(needed, "jac-needed")
+    likely = maybe_in(docs, "id", bitmap(needed, "id", ID_BITS), ID_BITS)
+    texts = likely.join(needed, "id", "left_semi")
     parts = materialize(fragments(texts, sent, n, cuts), "jac-fragments")
     left = parts.withColumnsRenamed({"sid": "a", "tokens": "ta"})
     right = parts.withColumnsRenamed({"sid": "b", "tokens": "tb"})
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("overlap"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
     out = materialize(total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"), "jac-links")
-    release(parts)
+    for x in (parts, needed, pairs):
+        release(x)
     return out
 
 
@@ -260,14 +288,18 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed_rows = materialize(sign(docs, n), "jac-signed")
     rows = signed_rows.where("n is not null").select("id", "n", "sid")
-    classes = rows.where("sid is not null and id is not null").groupBy("sid").agg(F.min("id").alias("rep"))
+    classes = signed_rows.where("sid is not null and id is not null").groupBy("sid").agg(F.min(F.struct("id", "sizes")).alias("m")).select("sid", F.col("m.id").alias("rep"), "m.sizes")
+    classes = materialize(classes, "jac-classes")
     sent = Broadcasts(spark, levels(signed_rows.where("bucket is not null")))
 
     every = postings(docs, sent, n, percent)
     every = materialize(every, "jac-postings")
     shared = every.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
-    held = materialize(every.join(shared, "token", "left_semi"), "jac-shared")
+    shared = materialize(shared, "jac-tokens")
+    likely = maybe_in(every, "token", bitmap(shared, "token", TOKEN_BITS), TOKEN_BITS)
+    held = materialize(likely.join(shared, "token", "left_semi"), "jac-shared")
     release(every)
+    release(shared)
 
     # each class with the hub of each of its prefix n-grams: the set made of the most common n-grams
     hubs = held.groupBy("token").agg(F.max(F.struct("common", "sid", "n")).alias("hub"))
@@ -294,7 +326,7 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     final = components(found.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     for x in (held, first, placed, second):
         release(x)
-    result = rows.join(classes, "sid", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    result = rows.join(classes.select("sid", "rep"), "sid", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return result.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
 
 
