@@ -105,20 +105,44 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, settings: Sett
             swapped.append(text_features({change.get(w, w) for w in words}, seen) if words & change.keys() else None)
         return [plain, swapped]
 
-    got = map_texts(rows, [key, "__y"], text, "f array<long>, g array<long>", work).select("__y", "f", "g").toArrow()
-    f, g = got["f"].to_pylist(), got["g"].to_pylist()
-    order = sorted(range(len(f)), key=lambda i: (got["__y"][i].as_py(), len(f[i]), min(f[i], default=0), max(f[i], default=0)))
-    y = got["__y"].to_pylist()
-    return [y[i] for i in order], [f[i] for i in order], [g[i] for i in order]
+    got = map_texts(rows, [key, "__y"], text, "f array<long>, g array<long>", work).toArrow()
+    size = got["f"].combine_chunks().value_lengths().to_numpy()
+    order = np.lexsort((size, got["__y"].to_numpy(), np.asarray(got[key].cast("string").to_pylist(), str)))
+    got = got.take(order)
+    return got["__y"].to_numpy().astype(float), lists(got["f"]), lists(got["g"])
+
+
+class Lists:
+    """Lists of numbers as one array and offsets; a null list is empty and marked."""
+
+    def __init__(self, values: np.ndarray, start: np.ndarray, null: np.ndarray):
+        self.values, self.start, self.null = values, start, null
+
+    @property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.null)), np.diff(self.start))
+
+    def take(self, rows: np.ndarray) -> Lists:
+        size = np.diff(self.start)[rows]
+        at = np.repeat(self.start[rows] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(rows) else np.empty(0, np.int64)
+        return Lists(self.values[at], np.concatenate([[0], np.cumsum(size)]), self.null[rows])
+
+
+def lists(column) -> Lists:
+    t = column.combine_chunks()
+    size = t.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return Lists(t.flatten().to_numpy(), np.concatenate([[0], np.cumsum(size)]).astype(np.int64), np.asarray(t.is_null()))
 
 
 class Rows:
     """A sparse 0/1 matrix by rows."""
 
-    def __init__(self, rows: list[np.ndarray], width: int):
-        self.width, self.n = width, len(rows)
-        self.at = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
+    def __init__(self, features: Lists, names: np.ndarray):
+        """Columns are the given features (sorted); others are left out."""
+        self.width, self.n = len(names), len(features.null)
+        at = np.minimum(np.searchsorted(names, features.values), len(names) - 1)
+        known = names[at] == features.values
+        self.at, self.row = at[known], features.row[known]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.at], self.n)
@@ -172,38 +196,33 @@ def descend(x: Rows, d: tuple[Rows, Rows] | None, y: np.ndarray, l1: np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> Model:
     """A model from labelled rows whose crc32(id as text) mod 5 is not 0; without labels of both kinds, a constant one."""
     y, f, g = training_rows(docs, labels, label, settings, key, text)
-    y = np.asarray(y, float)
     n = len(y)
     if n == 0:
         return Model()
     p = (y.sum() + 0.5) / (n + 1)
     if y.min() == y.max():
         return Model(float(np.log(p / (1 - p))))
-    names, at = np.unique(np.concatenate([np.asarray(r, np.int64) for r in f]), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(r) for r in f])
-    count = np.bincount(at, minlength=len(names))
-    grad = np.abs(np.bincount(at, (y - y.mean())[row], len(names))) / n
+    order = np.argsort(f.values, kind="stable")
+    ranked = f.values[order]
+    first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.empty(0, np.int64)
+    names = ranked[first]
+    if not len(names):
+        return Model(float(np.log(p / (1 - p))))
+    del ranked
+    count = np.diff(np.append(first, len(order)))
+    grad = np.abs(np.add.reduceat((y - y.mean())[f.row[order]], first)) / n
+    del order
     share = count / n
     chance = np.sqrt(y.mean() * (1 - y.mean()) * np.maximum(share * (1 - share), 1 / n) / n)
     # sequential strong rule: features whose gradient is far under the penalty stay at zero
     held = np.flatnonzero((count >= settings.min_rows_of_feature) & (count < n) & (grad >= 0.6 * settings.penalty * chance))
     if not len(held):
         return Model(float(np.log(p / (1 - p))))
-
-    def rows(lists: list, names: np.ndarray) -> list[np.ndarray]:
-        out = []
-        for r in lists:
-            a = np.asarray(r if r is not None else [], np.int64)
-            i = np.minimum(np.searchsorted(names, a), len(names) - 1)
-            out.append(i[names[i] == a] if len(a) else i)
-        return out
-
-    swapped = [i for i, x in enumerate(g) if x is not None]
+    swapped = np.flatnonzero(~g.null)
+    before, after = f.take(swapped), g.take(swapped)
 
     def matrices(names: np.ndarray):
-        x = Rows(rows(f, names), len(names))
-        d = (Rows(rows([f[i] for i in swapped], names), len(names)), Rows(rows([g[i] for i in swapped], names), len(names))) if swapped else None
-        return x, d
+        return Rows(f, names), (Rows(before, names), Rows(after, names)) if len(swapped) else None
 
     x, d = matrices(names[held])
     w, _ = descend(x, d, y, settings.penalty * chance[held], 0.0, settings.counterfactual, 150)
