@@ -199,7 +199,7 @@ def main_text(page: str) -> str:
             text_len[id(up)] = text_len.get(id(up), 0) + len(text)
             link_len[id(up)] = link_len.get(id(up), 0) + linked
             up = up.parent
-        points = (base or 0.5) + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
+        points = ((base or 0.5) + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)) * (1 - min(1.0, linked / len(text)))
         holder = x.parent if x.parent is not None and x.tag not in ("div", "section", "article", "main", "body") else x
         share = 1.0
         level = 0
