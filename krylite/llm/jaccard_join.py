@@ -44,7 +44,7 @@ class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 2_000_000:
+        if len(self) > 250_000:  # bounded memory: hashed again as met
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -61,7 +61,7 @@ class Model:
             for w in set(WORD.findall(text.lower())):
                 got = seen.get(w)
                 if got is None:
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 200_000:  # bounded memory: looked up again as met
                         seen.clear()
                     got = seen[w] = tuple(f for f in word_features(w) if f in weights)
                 if got:
