@@ -397,7 +397,7 @@ CORE = f"(det & ~{one('i')} & ~{one('j')})"
 
 
 @query("double_excitations", f"""SELECT det, i, j, a, b, {CORE} | {one('a')} | {one('b')} AS det2,
-CAST(1 - 2 * (({BETWEEN.format(d=CORE, a='i', b='a')} + {BETWEEN.format(d=f"({CORE} | {one('a')})", a='j', b='b')}) % 2) AS INTEGER) AS sign
+CAST(1 - 2 * (({BETWEEN.format(d=CORE, a='i', b='a')} + {BETWEEN.format(d=CORE, a='j', b='b')}) % 2) AS INTEGER) AS sign
 FROM ({DETS6}), ({ORBS.format(x='i')}), ({ORBS.format(x='j')}), ({ORBS.format(x='a')}), ({ORBS.format(x='b')})
 WHERE i < j AND a < b AND {on('i')} AND {on('j')} AND {off('a')} AND {off('b')} AND i // 6 = a // 6 AND j // 6 = b // 6 AND xor(xor({irrep('i')}, {irrep('j')}), xor({irrep('a')}, {irrep('b')})) = 0""")
 def double_excitations(spark, d):

@@ -88,10 +88,9 @@ def double(det: ColumnOr, i: ColumnOr, j: ColumnOr, a: ColumnOr, b: ColumnOr) ->
 
 
 def double_parity(det: ColumnOr, i: ColumnOr, j: ColumnOr, a: ColumnOr, b: ColumnOr) -> Column:
-    """Both occupied bits are cleared before the ones between i, a and j, b are counted."""
+    """For i < j and a < b: both occupied bits are cleared, then the ones between i, a and between j, b are counted."""
     core = zero_bit(zero_bit(det, i), j)
-    moved = set_bit(core, a)
-    return sign_of(ones_between(core, i, a) + ones_between(moved, j, b))
+    return sign_of(ones_between(core, i, a) + ones_between(core, j, b))
 
 
 def flip_spins(det: ColumnOr, n_orb: int) -> Column:

@@ -58,9 +58,9 @@ def single(det: int, i: int, a: int) -> tuple[int, int]:
 
 
 def double(det: int, i: int, j: int, a: int, b: int) -> tuple[int, int]:
+    """New key and parity, for i < j and a < b."""
     core = det & ~(1 << i) & ~(1 << j)
-    moved = core | 1 << a
-    return moved | 1 << b, 1 - 2 * (ones_between(core, i, a) + ones_between(moved, j, b) & 1)
+    return core | 1 << a | 1 << b, 1 - 2 * (ones_between(core, i, a) + ones_between(core, j, b) & 1)
 
 
 def sign_in_list(i: int, virt: int, occ: list[int]) -> int:
