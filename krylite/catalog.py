@@ -729,9 +729,9 @@ def _methods() -> None:
     holstein = hubbard.Chain(4, 4, u=2.0, g=0.3, omega=0.5, ph_bits=2)
     method("run_chain_exact", lambda s: P.chain_exact(s, ChainModel(four), cfg()))
     method("run_chain_systematic", lambda s: P.chain_systematic(s, ChainModel(holstein), cfg()))
-    method("run_fri_exact", lambda s: P.fri_exact(s, mol(), cfg()))
-    method("run_fri_systematic", lambda s: P.fri_systematic(s, mol(), cfg(iterations=2)))
-    method("run_fri_multinomial", lambda s: P.fri_multinomial(s, mol(), cfg()))
+    method("run_power_exact", lambda s: P.power_exact(s, mol(), cfg()))
+    method("run_power_systematic", lambda s: P.power_systematic(s, mol(), cfg(iterations=2)))
+    method("run_power_multinomial", lambda s: P.power_multinomial(s, mol(), cfg()))
     method("run_fciqmc", lambda s: P.fciqmc(s, mol(), cfg()))
     method("run_fciqmc_float", lambda s: P.fciqmc_float(s, mol(), cfg()))
 

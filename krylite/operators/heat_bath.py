@@ -200,7 +200,7 @@ def apply(vec: DataFrame, mol: Molecule, t: Tensors, m: int, p_doub: float, how:
     rows = vec.where("v <> 0").select("det", F.col("v").cast("double").alias("v"))
     with_id = lambda df, *cols: df.withColumn("row", F.xxhash64(*cols))
     one = stage(with_id(rows, "det"), lambda det: [1 - p_doub, p_doub] if singles_of(det) else [0.0, 1.0], ["det"], 1).withColumnRenamed("sub", "kind")
-    # Singles never need a third choice and doubles go on; weights of each kind are as the row's kind asks.
+    # a single's last two stages have one child each
     two = stage(with_id(one, "det", "kind"), lambda det, kind: uniform(len(singles_of(det))) if kind == 0 else o1_weights(t, n, strings.positions(det))[0], ["det", "kind"], 2).withColumnRenamed("sub", "x1")
 
     def third(det: int, kind: int, x1: int):

@@ -55,7 +55,6 @@ def movable(det: str, n_sites: int) -> tuple[Column, Column]:
     """Keys of orbitals whose electron can hop right, and left, with open ends."""
     half = (1 << n_sites) - 1
     last, first = 1 << (n_sites - 1), 1
-    right = left = None
     d = F.col(det).bitwiseAND(F.lit((1 << (2 * n_sites)) - 1))
     no_last = half ^ last | (half ^ last) << n_sites
     no_first = half ^ first | (half ^ first) << n_sites
@@ -129,8 +128,6 @@ def reference_overlap(df: DataFrame, chain: Chain, value: str = "v", det: str =
 
 def states(spark, chain: Chain) -> DataFrame:
     """Every key with half of the electrons of each spin and no phonons."""
-    half = chain.n_elec // 2
-    mask = (1 << chain.n_sites) - 1
-    one = spark.range(1 << chain.n_sites).where(F.bit_count("id") == half)
-    both = one.select(F.col("id").alias("a")).join(one.select(F.col("id").alias("b")), F.lit(True))
-    return both.select((F.col("a") + B.shl("b", chain.n_sites)).alias("det")).where(F.col("det") >= 0).where(F.lit(mask) > 0)
+    half, n = chain.n_elec // 2, chain.n_sites
+    ok = (F.bit_count(F.col("id").bitwiseAND(F.lit((1 << n) - 1))) == half) & (F.bit_count(B.shr("id", n)) == half)
+    return spark.range(1 << (2 * n)).where(ok).select(F.col("id").alias("det"))

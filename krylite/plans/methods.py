@@ -187,15 +187,15 @@ def fciqmc_float(spark: SparkSession, model: MoleculeModel, cfg: Config, **more)
     return ground_state(spark, model, cfg, "float_walkers", **more)
 
 
-def fri_multinomial(spark: SparkSession, model: MoleculeModel, cfg: Config, **more) -> RunResult:
+def power_multinomial(spark: SparkSession, model: MoleculeModel, cfg: Config, **more) -> RunResult:
     return ground_state(spark, model, cfg, "multinomial", **more)
 
 
-def fri_systematic(spark: SparkSession, model: MoleculeModel, cfg: Config, **more) -> RunResult:
+def power_systematic(spark: SparkSession, model: MoleculeModel, cfg: Config, **more) -> RunResult:
     return ground_state(spark, model, cfg, "heat_bath", **more)
 
 
-def fri_exact(spark: SparkSession, model: Model, cfg: Config, **more) -> RunResult:
+def power_exact(spark: SparkSession, model: Model, cfg: Config, **more) -> RunResult:
     return ground_state(spark, model, cfg, "exact", **more)
 
 
