@@ -203,7 +203,7 @@ def postings(docs: DataFrame, sent: Broadcasts, n: int, percent: int) -> DataFra
                     continue
                 seen.add(sid)
                 level = table[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
-                p = len(s) - -(-percent * len(s) // 100) + 1
+                p = prefix_size(len(s), percent)
                 ordered = s[level == 0]
                 if len(ordered) < p:
                     ordered, _ = in_order(s, table)
@@ -270,6 +270,13 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sent: Broadc
     return out
 
 
+def prefix_size(n, percent: int):
+    """Length of the prefix in which a set shares an n-gram with every set that it links with."""
+    if isinstance(n, int):
+        return n - -(-percent * n // 100) + 1
+    return n - F.ceil(percent * n / 100).cast("int") + 1
+
+
 def similar_sizes(percent: int) -> F.Column:
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
@@ -317,7 +324,10 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     b = apart.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
     most = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
     reach = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
-    cross = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar_sizes(percent) & reach).select("a", "b", "na", "nb").distinct()
+    cross = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar_sizes(percent) & reach)
+    # of the prefixes, the one that ends first in the order holds every common n-gram up to there
+    behind = lambda k: F.col(k) - prefix_size(F.col(k), percent)
+    cross = cross.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).where((100 + percent) * (F.col("met") + F.greatest(behind("na"), behind("nb"))) >= percent * (F.col("na") + F.col("nb")))
     second = materialize(cross.join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "jac-pairs")
     more = verified(second, docs, classes, sent, n, percent, cuts) if second.limit(1).count() else None
     found = links.unionByName(more) if more is not None else links
