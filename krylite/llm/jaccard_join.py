@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -293,7 +294,9 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
         raise ValueError("percent must be in 1..100")
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    signed_rows = materialize(sign(docs, n), "jac-signed")
+    # repeats are counted within tasks: many small input parts are put together, without a shuffle
+    parts = max(2 * spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // 16)
+    signed_rows = materialize(sign(docs.coalesce(parts), n), "jac-signed")
     rows = signed_rows.where("n is not null").select("id", "n", "sid")
     classes = signed_rows.where("sid is not null and id is not null").groupBy("sid").agg(F.min(F.struct("id", "sizes")).alias("m")).select("sid", F.col("m.id").alias("rep"), "m.sizes")
     classes = materialize(classes, "jac-classes")
@@ -319,10 +322,11 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     placed = held.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     placed = materialize(placed.groupBy("token", "sid", "n", "component").agg(F.min("pos").alias("pos")), "jac-placed")
     split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    apart = placed.join(split, "token", "left_semi")
-    a = apart.select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-    b = apart.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-    most = F.least("pa", "pb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    # ahead of an n-gram, only those others count that other components have as well
+    apart = placed.join(split, "token", "left_semi").withColumn("rank", F.row_number().over(W.partitionBy("sid").orderBy("pos")) - 1)
+    a = apart.select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("rank").alias("ra"), F.col("component").alias("ca"))
+    b = apart.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("rank").alias("rb"), F.col("component").alias("cb"))
+    most = F.least("ra", "rb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
     reach = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
     cross = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar_sizes(percent) & reach)
     # of the prefixes, the one that ends first in the order holds every common n-gram up to there
