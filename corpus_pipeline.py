@@ -16,8 +16,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by the n-gram join, the document with the smallest id stays; a null id always stays."""
-    copies = jaccard_join.jaccard_classes(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id")
+    """Of each group linked by five-word Jaccard of 0.8 or more, the document with the smallest id stays; a null id always stays."""
+    copies = jaccard_join.jaccard_classes(docs, n=5, percent=80).where(F.col("component_id") != F.col("doc_id")).select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -1,3 +1,5 @@
+import random
+import re
 from pathlib import Path
 
 import pytest
@@ -38,3 +40,48 @@ def test_stages_keep_columns_and_clean_rows(spark, tmp_path):
     assert got[3].text == "mail me at [EMAIL] now" and got[3].n_chars == 22
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == {1, 3, 4, None}
+
+
+def kept_by_brute_force(rows):
+    """Ids that stay: the smallest of each group linked by five-word Jaccard of 0.8 or more."""
+    split = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in rows}
+    sets = {i: frozenset(zip(*(w[k:] for k in range(5)), strict=False)) if len(w) >= 5 else frozenset([tuple(w)] if w else []) for i, w in split.items()}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i for i in sets if find(i) == i}
+
+
+def test_near_copies_equal_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows = []
+    for g in range(12):
+        base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        for changed in (0, 4, 6, 7, 12):
+            t = list(base)
+            for at in range(changed):
+                t[20 * at + g] = f"new{g}x{changed}x{at}"
+            rows.append((len(rows), " ".join(t)))
+    want = kept_by_brute_force(rows)
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in got.collect()} == want and 12 < len(want) < 60
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="no test tables")
+def test_pipeline_rows_equal_brute_force(spark):
+    import corpus_pipeline
+
+    docs = corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), str(SMALL))
+    want = kept_by_brute_force([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(SMALL)).collect()} == want
