@@ -1,10 +1,11 @@
 """Personal data: base rules and bootstrapped contextual extraction.
 
-Entities found by the base rules seed the search. Every identifier-shaped token (with a digit or an at sign), seed or
-not, is an instance with lexical contexts: its neighbouring words. Spark scores the graph of contexts and instances in
-rounds: a context is as good as the trust in the instances it surrounds, an unknown instance earns trust from its best
-contexts. Contexts that end with high confidence and many different seeds become patterns, and the unknown instances
-they surround, if their shape is plausible for the kind, are reported as further spans of that kind.
+Entities found by the base rules seed the search. Every identifier-shaped token (with a digit or an at sign) or run of
+digit groups, seed or not, is an instance with lexical contexts: its neighbouring words. Spark scores the graph of
+contexts and instances until it is stable: a context is as good as the trust in the instances it surrounds against the
+number of different other words that it surrounds as well; instances not yet known count neither way. Contexts of high
+confidence and much support become patterns, and the unknown instances they surround, if their shape is plausible for
+the kind, are reported as further spans of that kind and support further contexts.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, materialize, slices
+from .common import map_rows, materialize, release, slices
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -30,6 +31,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 TOKEN = re.compile(r"\S*[0-9@]\S*")
+GROUPS = re.compile(r"\+?\(?[0-9]+(?:[().-]{0,2}\x20?[().-]{0,2}[0-9]+)*")
+EDGE = "\"'()[]{}<>,;:.!?"
 LEFT_WORD = re.compile(r"(\S+)\s*\Z")
 RIGHT_WORD = re.compile(r"\s*(\S+)")
 WORD_RUN = 200  # characters of a context word that are kept
@@ -105,7 +108,8 @@ def shape(token: str) -> str:
 
 
 def instances(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, str, str]]:
-    """(start, end, kind or -1, text digest, left word, right word) of seeds and of other identifier-shaped tokens."""
+    """(start, end, kind, text digest, left word, right word) of seeds, and of other identifier-shaped tokens, whose kind
+    is -1 - kind. Tokens that are matched by a rule alone, if not in their text, are seeds as well."""
     places = [(a, b, k) for a, k, b in spans]
     taken = [(a, b) for a, b, _ in places]
     i = 0
@@ -120,7 +124,19 @@ def instances(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, i
                 i += 1
             if b - a < 4 or any(x < b and y > a for x, y in taken[max(0, i - 4) : i + 4]):
                 continue
-            for k in plausible(text[a:b]):
+            alone = {k for x, k, y in base_spans(text[a:b]) if x == 0 and y == b - a}  # hidden from the rules by digits beside it
+            for k in sorted({*plausible(text[a:b]), *alone}):
+                places.append((a, b, k if k in alone else -1 - k))
+        i = 0
+        for m in GROUPS.finditer(text):
+            a, b = m.span()
+            if " " not in m[0]:
+                continue
+            while i < len(taken) and taken[i][1] <= a:
+                i += 1
+            if any(x < b and y > a for x, y in taken[max(0, i - 4) : i + 4]) or a and text[a - 1].isalnum() or text[b : b + 1].isalnum():
+                continue
+            for k in plausible(NOT_DIGIT.sub("", m[0])):
                 places.append((a, b, -1 - k))
     out = []
     for a, b, k in places:
@@ -161,39 +177,122 @@ def contexts() -> F.Column:
     return F.array(F.concat(F.lit("L "), "s.left"), F.concat(F.lit("R "), "s.right"), F.concat_ws(" ", F.lit("B"), "s.left", "s.right"))
 
 
-def learn(scanned: DataFrame, min_seeds: int = 5, confidence: float = 0.8, rounds: int = 2) -> DataFrame:
-    """Patterns (kind, pattern) that ended with high confidence.
+OTHERS = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("word", T.LongType())])
+
 
-    Instances count once per kind, pattern and entity, so repeated texts add nothing. Trust of a seed is 1; of an
-    unknown one 0 at first, then the confidence of its best pattern, halved, for the kinds its shape allows.
+def other_words(docs: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Different words (pattern, word's hash) that stand where an instance would, for each of the given patterns.
+
+    A task stops at one word more than a pattern's limit: by then it can't be good any more.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(OTHERS)
+    sent = docs.sparkSession.sparkContext.broadcast(limits)
+
+    def run(batches):
+        most = sent.value
+        met: dict[str, set[str]] = {p: set() for p in most}
+        lefts, rights = ({p[2:] for p in most if p[0] == side} for side in "LR")
+        both: dict[str, set[str]] = {}
+        for p in most:
+            if p[0] == "B":
+                x, y = p[2:].split(" ", 1)
+                both.setdefault(x, set()).add(y)
+
+        def add(pattern: str, word: str) -> bool:
+            """Whether the pattern is past its limit."""
+            met[pattern].add(word)
+            return len(met[pattern]) > most[pattern]
+
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if not t or not (lefts or rights or both):
+                    continue
+                parts, done = [], 0
+                spans = base_spans(t)
+                for a, b in sorted({(x[0], x[1]) for x in instances(t, spans)}):
+                    if b > done:
+                        parts += [t[done : max(a, done)], "\0"]
+                        done = b
+                words = "".join([*parts, t[done:]]).lower().split()
+                before, last = "^", len(words) - 1
+                for i, w in enumerate(words):
+                    left, right, core = before, words[i + 1] if i < last else "$", w
+                    before = w
+                    if "\0" in w:
+                        continue
+                    if w[0] in EDGE or w[-1] in EDGE:
+                        core = w.lstrip(EDGE)
+                        if len(core) < len(w):
+                            left = w[: len(w) - len(core)]
+                        w, core = core, core.rstrip(EDGE)
+                        if not core:
+                            continue
+                        if len(core) < len(w):
+                            right = w[len(core) :]
+                    if left in lefts and add(f"L {left}", core):
+                        lefts.discard(left)
+                    if right in rights and add(f"R {right}", core):
+                        rights.discard(right)
+                    if left in both and right in both[left] and add(f"B {left} {right}", core):
+                        both[left].discard(right)
+        rows = [(p, int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big", signed=True)) for p, ws in met.items() for w in ws]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], schema=arrow)
+
+    return docs.mapInArrow(run, OTHERS)
+
+
+def learn(scanned: DataFrame, docs: DataFrame, min_seeds: int = 5, confidence: float = 0.8) -> DataFrame:
+    """Patterns (kind, pattern) of high confidence, until no more are found. `docs` has the scanned texts alone.
+
+    Instances count once per kind, pattern and entity, and other words once per pattern, so repeated texts add nothing.
+    Trust of a seed is 1, of an instance that a pattern surrounds `confidence`, and of others 0. A context needs trust of
+    `min_seeds` in all, and that much against the other words. Trust only grows, so the end doesn't depend on order.
+    """
+    spark = scanned.sparkSession
     rows = scanned.select(F.explode("seen").alias("s")).select(F.when(F.col("s.kind") >= 0, F.col("s.kind")).otherwise(-1 - F.col("s.kind")).alias("kind"), (F.col("s.kind") >= 0).alias("seed"), "s.entity", F.explode(contexts()).alias("pattern"))
     links = materialize(rows.groupBy("kind", "pattern", "entity").agg(F.max("seed").alias("seed")), "pii-links")
-    trust = None
-    for i in range(rounds):
-        if trust is None:
-            scored = links.withColumn("trust", F.col("seed").cast("double"))
-        else:
-            scored = links.join(trust, ["kind", "entity"], "left").withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("earned", F.lit(0.0))))
-        patterns = scored.groupBy("kind", "pattern").agg(F.sum("trust").alias("sum"), F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        patterns = patterns.withColumn("confidence", F.col("sum") / (F.col("n") + 0.5)).where(F.col("seeds") >= min_seeds)
-        if i + 1 < rounds:
-            good = patterns.where(F.col("confidence") >= confidence / 2).select("kind", "pattern", "confidence")
-            trust = links.where(~F.col("seed")).join(good, ["kind", "pattern"]).groupBy("kind", "entity").agg((F.max("confidence") / 2).alias("earned"))
-    return materialize(patterns.where(F.col("confidence") >= confidence).select("kind", "pattern"), "pii-patterns")
+    # were all of a context's instances trusted: so much support, and room for so many other words
+    room = F.floor(F.col("n") * (1 - confidence) / confidence - 0.5 + 1e-9).cast("int")
+    possible = links.groupBy("kind", "pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds).withColumn("room", room).where("room >= 0")
+    limits = {r["pattern"]: r["room"] for r in possible.groupBy("pattern").agg(F.max("room").alias("room")).collect()}
+    found = materialize(spark.createDataFrame([], T.StructType([links.schema["kind"], links.schema["pattern"]])), "pii-patterns")
+    if not limits:
+        return found
+    others = other_words(docs, limits).distinct().groupBy("pattern").agg(F.count("*").alias("others"))
+    hopeful = possible.join(others, "pattern", "left").na.fill(0, ["others"]).where("others <= room").select("kind", "pattern", "others")
+    held = materialize(links.join(hopeful, ["kind", "pattern"]), "pii-hopeful")
+    release(links)
+    count = 0
+    while True:
+        known = held.join(found, ["kind", "pattern"], "left_semi").select("kind", "entity").distinct().withColumn("known", F.lit(confidence))
+        scored = held.join(known, ["kind", "entity"], "left").withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("known", F.lit(0.0))))
+        sums = scored.groupBy("kind", "pattern", "others").agg(F.sum("trust").alias("sum"))
+        good = sums.where((F.col("sum") >= min_seeds - 1e-9) & (F.col("sum") >= confidence * (F.col("sum") + F.col("others") + 0.5) - 1e-9))
+        old, found = found, materialize(good.select("kind", "pattern"), "pii-patterns")
+        release(old)
+        more = found.count()
+        if more == count:
+            release(held)
+            return found
+        count = more
 
 
 def extract(df: DataFrame, key: str = "doc_id", text: str = "text", min_seeds: int = 5, confidence: float = 0.8) -> DataFrame:
-    """key, `found` (base spans) and `more` (spans that learned patterns add), one row per row of `df`.
+    """key, `found` (base spans) and `more` (seeds beside other digits, and spans that learned patterns add), one row per
+    row of `df`.
 
     Null and empty texts have no spans. Rows that repeat a key are told apart by an internal row id, so each keeps its
     own spans; an empty table gives no rows; other columns are ignored. Texts are read whole.
     """
     scanned = materialize(scan(df, key, text), "pii-scan").withColumn("__row", F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.col("found").cast("string"), F.col("seen").cast("string")))
-    patterns = learn(scanned, min_seeds, confidence)
+    patterns = learn(scanned, df.select(text), min_seeds, confidence)
     unknown = scanned.select("__row", F.explode("seen").alias("s")).where(F.col("s.kind") < 0).select("__row", "s.start", "s.end", (-1 - F.col("s.kind")).alias("kind"), F.explode(contexts()).alias("pattern"))
     added = unknown.join(patterns, ["kind", "pattern"]).groupBy("__row").agg(F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("more"))
-    return scanned.join(added, "__row", "left").select(key, "found", F.coalesce("more", F.array().cast(FOUND)).alias("more"))
+    place = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+    alone = F.array_except(F.transform(F.filter("seen", lambda s: s["kind"] >= 0), place), F.col("found"))
+    return scanned.join(added, "__row", "left").select(key, "found", F.sort_array(F.array_union(F.coalesce("more", F.array().cast(FOUND)), alone)).alias("more"))
 
 
 def joined(spans: F.Column) -> F.Column:

@@ -128,6 +128,39 @@ def test_patterns_find_unseen_identifiers(spark):
     assert clean[0] == "filler words here call: [PHONE] thanks and more text 0" and clean[102] is None and clean[103] == ""
 
 
+def spans_by_doc(df):
+    return {r.doc_id: [(s["start"], s["end"], s["kind"]) for s in r.more] for r in pii.extract(df).collect()}
+
+
+def test_context_with_half_its_identifiers_unseen(spark):
+    rows = [(i, f"call: +1 (555) 123-4{i:03d} thanks") for i in range(30)] + [(100 + i, f"call: 555-123-4{i:03d} thanks") for i in range(30)]
+    rows += [(200 + i, f"ship {i}th on 555-123-5{i:03d} today") for i in range(30)] + [(300 + i, f"on +1 (555) 123-6{i:03d} today") for i in range(8)] + [(400 + i, f"on {w} today") for i, w in enumerate("monday tuesday foot sale hold time".split())]
+    got = spans_by_doc(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(got[100 + i] == [(6, 18, 3)] for i in range(30))
+    assert not any(got[i] for i in got if not 100 <= i < 130)  # between other words as well: no pattern
+
+
+def test_patterns_of_a_second_hop(spark):
+    rows = [(i, f"call: +1 (555) 123-4{i:03d} thanks") for i in range(10)] + [(100 + i, f"call: 555-123-5{i:03d} thanks") for i in range(10)]
+    rows += [(200 + i, f"desk 555-123-5{i:03d} weekdays") for i in range(10)] + [(300, "desk 555-999-1234 weekdays"), (301, "desk 555-999-4321 inside")]
+    rows += [(302, "other 555-999-7777 place")]
+    got = spans_by_doc(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got[205] == [(5, 17, 3)] and got[300] == [(5, 17, 3)] and got[301] == [(5, 17, 3)] and not got[302]
+
+
+def test_identifiers_of_several_tokens(spark):
+    rows = [(i, f"call: +1 (555) 123-4{i:03d} thanks") for i in range(10)]
+    rows += [(100, "call: 555 123 4567 thanks"), (101, "call: (555) 123-4567 thanks"), (102, "seen (555) 123-4567 there"), (103, "call: 12 34 thanks")]
+    got = spans_by_doc(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert (6, 18, 3) in got[100] and (6, 20, 3) in got[101] and not got[102] and not got[103]
+
+
+def test_identifiers_beside_other_digits(spark):
+    rows = [(1, "a +1 (605) 555-9305 4078918989542222 on"), (2, "4451718024887799 27.65.93.188 b"), (3, "9807915762804490 27.65.93.188 b")]
+    got = spans_by_doc(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == {1: [(20, 36, 2)], 2: [(0, 16, 2)], 3: []}
+
+
 def test_pii_edges(spark):
     df = spark.createDataFrame([(None, "a@b.cc"), (1, "a@b.cc"), (1, "a@b.cc")], "doc_id long, text string").selectExpr("*", "1 AS found", "2 AS more", "6L AS n_chars")
     got = pii.extract(df).collect()
