@@ -1,8 +1,8 @@
 """Main text of web pages by tree scoring.
 
 Paragraph-like blocks earn points for length and commas. The points go to their ancestors (whole to the parent, half to
-the grandparent, a third, and so on), are discounted by the share of text inside links, and the best container is kept
-together with those of its siblings that score well on their own.
+the grandparent, a third, and so on), are discounted by the share of text inside links. The article, main or articleBody
+element around the best container is kept whole; without one, the container and all of its siblings but lists of links.
 """
 
 from __future__ import annotations
@@ -40,27 +40,30 @@ ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "junk", "score", "likely", "depth")
+    __slots__ = ("tag", "parent", "kids", "junk", "score", "likely", "depth", "article")
 
-    def __init__(self, tag: str, parent: Node | None, junk: bool, likely: bool = False):
+    def __init__(self, tag: str, parent: Node | None, junk: bool, likely: bool = False, article: bool = False):
         self.tag, self.parent, self.junk, self.likely = tag, parent, junk, likely
+        self.article = article or tag == "article"
         self.kids: list[Node | str] = []
         self.score = 0.0
         self.depth = 0 if parent is None else parent.depth + 1
 
 
-def is_junk(tag: str, raw: str) -> tuple[bool, bool]:
+def is_junk(tag: str, raw: str) -> tuple[bool, bool, bool]:
+    """Whether an element is junk, has a likely name, and is marked as an article's body."""
     if tag in SKIPPED:
-        return True, False
+        return True, False, False
     if not raw or raw.isspace():
-        return False, False
+        return False, False, False
     a = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in ATTRIBUTE.findall(raw)}
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-        return tag not in ROOTS, False
+        return tag not in ROOTS, False, False
     names = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", f"{a.get('class', '')} {a.get('id', '')}").replace("_", "-")
     if JUNK.search(names) and tag not in ROOTS and tag not in ("p", "a", "span", "b", "i", "em", "strong", "h1"):
-        return True, False
-    return False, bool(LIKELY.search(names)) or a.get("itemprop", "") == "articleBody"
+        return True, False, False
+    body = "articleBody" in a.get("itemprop", "").split()
+    return False, body or bool(LIKELY.search(names)), body
 
 
 def parse(page: str) -> Node:
@@ -113,8 +116,7 @@ def parse(page: str) -> Node:
                 done, at = at is last, at.parent
                 if done:
                     break
-        junk, likely = is_junk(tag, m[3])
-        node = Node(tag, at, junk, likely)
+        node = Node(tag, at, *is_junk(tag, m[3]))
         at.kids.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
@@ -179,6 +181,63 @@ def render(node: Node, out: list[str]) -> None:
     flush()
 
 
+def mostly_links(node: Node) -> bool:
+    """Whether at least half of the text under a node stands in links."""
+    total = linked = 0
+    todo: list[tuple[Node | str, bool]] = [(node, False)]
+    while todo:
+        x, link = todo.pop()
+        if isinstance(x, str):
+            n = len(SPACES.sub(" ", x).strip())
+            total += n
+            linked += n * link
+        elif not x.junk:
+            todo += [(k, link or x.tag == "a") for k in x.kids]
+    return total > 0 and 2 * linked >= total
+
+
+def blocks_of(node: Node) -> list[Node]:
+    """The children of a node without junk; text and inline elements between two blocks are one child."""
+    out: list[Node] = []
+    loose = None
+    for k in node.kids:
+        if isinstance(k, Node) and k.tag in BLOCKS:
+            loose = None
+            if not k.junk:
+                out.append(k)
+        elif isinstance(k, str) or not k.junk:
+            if loose is None:
+                loose = Node("div", node, False)
+                out.append(loose)
+            loose.kids.append(k)
+    return out
+
+
+def kept_with(best: Node) -> list[Node]:
+    """What is rendered for the best container."""
+    up, article, main = best, None, None
+    while up is not None:
+        article = up if up.article else article
+        main = up if up.tag == "main" else main
+        up = up.parent
+    if article is not None:
+        if article.parent is None or article.tag != "article":
+            return [article]
+        return [k for k in article.parent.kids if k is article or isinstance(k, Node) and k.tag == "article" and not k.junk and not mostly_links(k)]
+    if main is not None:
+        return [main]
+    while best.parent is not None and best.tag not in ("body", "html"):
+        kept = [k for k in blocks_of(best.parent) if k is best or best in k.kids or not mostly_links(k)]
+        text: list[str] = []
+        for k in kept:
+            if k is not best and best not in k.kids:
+                render(k, text)
+        if text or best.parent.tag in ("body", "html", "#root"):
+            return kept
+        best = best.parent
+    return [best]
+
+
 def main_text(page: str) -> str:
     """The article's text, blocks joined by line feeds; an empty string for an empty page or one without text."""
     if not page:
@@ -219,23 +278,7 @@ def main_text(page: str) -> str:
     if best is None:
         best = root
     out: list[str] = []
-    if best.parent is None or best.tag in ("body", "article", "main"):
-        kept = [best]
-        if best.tag == "article":
-            kept = [k for k in best.parent.kids if k is best or isinstance(k, Node) and k.tag == "article" and not k.junk and k.score >= most * 0.2]
-    else:
-        kept = []
-        for k in best.parent.kids:
-            if k is best:
-                kept.append(k)
-            elif isinstance(k, Node) and not k.junk and k.tag in BLOCKS:
-                if k.score * (1 - density(k)) >= max(10.0, most * 0.2):
-                    kept.append(k)
-                elif k.tag in ("p", "h1", "h2", "h3", "blockquote", "pre"):
-                    t, linked = own_text(k)
-                    if t and (k.tag in ("h1", "h2", "h3") or len(t) > 80) and linked < 0.25 * len(t):
-                        kept.append(k)
-    for k in kept:
+    for k in kept_with(best):
         render(k, out)
     return "\n".join(out)
 

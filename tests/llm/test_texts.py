@@ -249,6 +249,25 @@ def test_small_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = [f"Paragraph {i} of the story, with a comma, and enough words in it to earn its points as a paragraph." for i in range(10)]
+TEN = "".join(f"<p>{t}</p>" for t in LONG)
+LINKS = "<ul>" + "<li><a href=x>Another story, elsewhere</a></li>" * 9 + "</ul>"
+
+
+@pytest.mark.parametrize("box", ["<article>{}</article>", "<main>{}</main>", "<div itemprop=articleBody>{}</div>", "<article><div class=content>{}</div></article>"])
+def test_sectioned_article_is_whole(box):
+    parts = f"<section>{TEN}</section><section><p>The end.</p></section><ul><li>point</li></ul><table><tr><th>head<td>cell</table><dl><dt>term<dd>text</dl><figure><figcaption>caption</figcaption></figure><p>Bye.</p>"
+    page = "<body><div>Site</div>" + box.format(parts) + LINKS + "</body>"
+    assert html_text.main_text(page).split("\n") == [*LONG, "The end.", "point", "head", "cell", "term", "text", "caption", "Bye."]
+
+
+def test_siblings_of_the_best_container_stay():
+    page = f"<body><div><div>{TEN}</div><p>Short.</p>Loose <b>text</b>.<div><p>The end.</p></div><ol><li>point</ol>{LINKS}<div class=related>More</div></div></body>"
+    assert html_text.main_text(page).split("\n") == [*LONG, "Short.", "Loose text.", "The end.", "point"]
+    page = f"<body><div><div><div>{TEN}</div></div><div><div><p>The end.</p></div></div></div></body>"
+    assert html_text.main_text(page).split("\n") == [*LONG, "The end."]
+
+
 def test_deep_and_long_pages():
     assert html_text.main_text("<div>" * 3000 + "<p>deep, text</p>") == "deep, text"
     long = "<article>" + "<p>some words, here</p>" * 20_000 + "</article>"
