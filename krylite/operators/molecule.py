@@ -181,14 +181,19 @@ def fold(det: str, value: Column, n_orb: int, parity: int) -> tuple[Column, Colu
     return key, value * new
 
 
+def unfold(df: DataFrame, value: str, n_orb: int, parity: int, det: str = "det") -> DataFrame:
+    """A vector over spin-flip pairs as one over single keys."""
+    flip = B.flip_spins(det, n_orb)
+    lone = F.col(det) == flip
+    half = F.sqrt(F.lit(0.5))
+    return df.select(det, F.when(lone, F.col(value)).otherwise(F.col(value) * half).alias(value)).unionByName(df.where(~lone).select(flip.alias(det), (F.col(value) * half * parity).alias(value)))
+
+
 def multiply(df: DataFrame, mol: Molecule, value: str = "v", det: str = "det", parity: int | None = None) -> DataFrame:
     """H v without the core energy's shift; with a parity, keys stand for spin-flip pairs."""
     v = df.select(det, F.col(value).alias(value))
     if parity is not None:  # unfold, multiply, fold
-        flip = B.flip_spins(det, mol.n_orb)
-        lone = F.col(det) == flip
-        half = F.sqrt(F.lit(0.5))
-        v = v.select(det, F.when(lone, F.col(value)).otherwise(F.col(value) * half).alias(value)).unionByName(v.where(~lone).select(flip.alias(det), (F.col(value) * half * parity).alias(value)))
+        v = unfold(v, value, mol.n_orb, parity, det)
     off = offdiagonal(v, mol, det).select(F.col("det2").alias(det), (F.col("el") * F.col(value)).alias(value))
     own = v.select(det, (diagonal_of(mol)(det) * F.col(value)).alias(value))
     out = own.unionByName(off)

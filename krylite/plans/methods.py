@@ -244,19 +244,19 @@ def subspace(spark: SparkSession, model: MoleculeModel, cfg: Config, trials: Dat
         for j, v in enumerate(values):
             one = vec.df.where(F.col(v) != 0).select("det", F.col(v).alias("v"))
             threshold = cfg.initiator * norm[j] / max(1, cfg.target_nonzero)
+            source = one if cfg.parity is None else molecule.unfold(one, "v", mol.n_orb, cfg.parity)
             if product == "exact":
-                got = model.offdiagonal(one) if cfg.parity is None else None
-                adds = got.select("det", "det2", (F.col("el") * F.col("v")).alias("x")) if got is not None else None
+                adds = model.offdiagonal(source).select("det", "det2", (F.col("el") * F.col("v")).alias("x"))
             else:
                 p = cfg.p_doub if cfg.p_doub is not None else heat_bath.double_probability(mol)
-                adds = heat_bath.apply(one, mol, heat_bath.tensors(mol), cfg.matrix_nonzero, p, "pivotal", cfg.seed + 1000 * it + j).select("det", "det2", F.col("el").alias("x"))
-            if adds is None:
-                hv = molecule.multiply(one, mol, "v", parity=cfg.parity)
-                step = one.unionByName(hv.select("det", (F.col("v") * -cfg.eps).alias("v"))).unionByName(one.select("det", (F.col("v") * F.lit(cfg.eps * (model.e_ref + float(shifts[j])))).alias("v")))
-            else:
-                flags = flagged(one, cfg, threshold)
-                adds = adds.join(flags.select("det", "ini"), "det").select(F.col("det2").alias("det"), (-cfg.eps * F.col("x")).alias("v"), "ini")
-                step = V.death_cloning(one, "v", model.diagonal(), cfg.eps, float(shifts[j])).unionByName(V.accepted(one, adds).select("det", "v"))
+                adds = heat_bath.apply(source, mol, heat_bath.tensors(mol), cfg.matrix_nonzero, p, "pivotal", cfg.seed + 1000 * it + j).select("det", "det2", F.col("el").alias("x"))
+            if cfg.parity is not None:  # elements within a pair become adds to its own key
+                origin, _ = molecule.fold("det", F.col("x"), mol.n_orb, cfg.parity)
+                target, x = molecule.fold("det2", F.col("x"), mol.n_orb, cfg.parity)
+                adds = adds.select(origin.alias("det"), target.alias("det2"), x.alias("x")).where("x <> 0")
+            flags = flagged(one, cfg, threshold)
+            adds = adds.join(flags.select("det", "ini"), "det").select(F.col("det2").alias("det"), (-cfg.eps * F.col("x")).alias("v"), "ini")
+            step = V.death_cloning(one, "v", model.diagonal(), cfg.eps, float(shifts[j])).unionByName(V.accepted(one, adds).select("det", "v"))
             step = step.groupBy("det").agg(F.sum("v").alias(v))
             steps = step if steps is None else steps.join(step, "det", "full")
         merged = steps.join(vec.df.where("pinned").select("det", "pinned"), "det", "full")

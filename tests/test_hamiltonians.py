@@ -154,6 +154,31 @@ def test_subspace_energies(spark):
     assert np.allclose(got, values[:2], atol=0.01)
 
 
+@pytest.mark.parametrize("parity", [1, -1])
+def test_subspace_with_time_reversal(spark, parity):
+    mol = catalog.small_molecule()
+    keys, h = molecule.exact_matrix(mol)
+    flip = lambda k: k >> mol.n_orb | (k & (1 << mol.n_orb) - 1) << mol.n_orb
+    pairs = [k for k in keys if k < flip(k) or k == flip(k) and parity > 0]
+    basis = np.zeros((len(keys), len(pairs)))
+    for i, k in enumerate(pairs):
+        basis[keys.index(k), i] += 1 if k == flip(k) else np.sqrt(0.5)
+        if k != flip(k):
+            basis[keys.index(flip(k)), i] += parity * np.sqrt(0.5)
+    values, vectors = np.linalg.eigh(basis.T @ h @ basis)
+    trial = vectors[:, :2] + 0.005 * np.random.default_rng(3).normal(size=(len(pairs), 2))
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in zip(pairs, trial, strict=True)], "det long, v0 double, v1 double")
+    model = MoleculeModel(mol, mol.diagonal(S.positions(mol.reference)))
+    cfg = lambda **more: P.Config(eps=0.1, target_nonzero=200, matrix_nonzero=100_000, damping=0.5, parity=parity, **more)
+    got = P.subspace_energies(P.subspace(spark, model, cfg(iterations=3, restart_interval=2), df, ["v0", "v1"]), skip=2) + model.e_ref
+    assert np.allclose(got, values[:2], atol=0.01)
+    one, two = ({r.det: (r.v0, r.v1) for r in P.subspace(spark, model, cfg(iterations=1), df, ["v0", "v1"], how).vector.collect()} for how in ("exact", "heat_bath"))
+    assert set(two) <= set(pairs) and all(np.allclose(two.get(k, (0, 0)), x, atol=1e-6) for k, x in one.items())
+    few = df.orderBy("det").limit(2)
+    held = P.subspace(spark, model, cfg(iterations=1, initiator=1e9), few, ["v0", "v1"]).vector
+    assert {r.det for r in held.collect()} == {r.det for r in few.collect()}
+
+
 def test_linear_algebra():
     assert np.allclose(linalg.inverse([[1, 3], [2, 4]]), [[-2, 1.5], [1, -0.5]])
     assert np.allclose(linalg.inverse_upper_of_lu([[1, 3], [2, 4]]), [[1, 1.5], [0, -0.5]])
