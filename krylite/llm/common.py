@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,6 +56,20 @@ def release(df: DataFrame | None) -> None:
         remove(df.sparkSession, path)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], at: int, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Consecutive rows with their texts (column `at`; null as empty), about `most` bytes of text at a time, and at least
+    one row; only so much text is in Python at once."""
+    for batch in batches:
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(at)), 0).cast(pa.int64())).to_numpy()
+        start = 0
+        while start < len(ends):
+            before = int(ends[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            part = batch.slice(start, end - start)
+            yield part, [t or "" for t in part.column(at).to_pylist()]
+            start = end
+
+
 def slices(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of about `most` characters each, at least one text a range."""
     start, size = 0, 0
@@ -82,13 +98,10 @@ def map_texts(df: DataFrame, keys: list[str], text: str, schema: str, work: Call
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(len(keys)).to_pylist()]
-            for a, b in slices(texts):
-                cols = work(texts[a:b])
-                arrays = [batch.column(i).slice(a, b - a).cast(arrow.field(i).type) for i in range(len(keys))]
-                arrays += [pa.array(c, type=arrow.field(len(keys) + i).type) for i, c in enumerate(cols)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        for rows, texts in sliced(batches, len(keys)):
+            arrays = [rows.column(i).cast(arrow.field(i).type) for i in range(len(keys))]
+            arrays += [pa.array(c, type=arrow.field(len(keys) + i).type) for i, c in enumerate(work(texts))]
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return narrow.mapInArrow(run, out)
 
@@ -98,10 +111,8 @@ def map_rows(df: DataFrame, text: str, work: Callable[[pa.RecordBatch, list[str]
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in slices(texts):
-                yield work(batch.slice(a, b - a), texts[a:b])
+        for rows, texts in sliced(batches, at):
+            yield work(rows, texts)
 
     return df.mapInArrow(run, df.schema)
 
@@ -123,3 +134,23 @@ def maybe_in(df: DataFrame, key: str, bits: DataFrame, width: int) -> DataFrame:
     found = rows.join(F.broadcast(bits), "__bucket")
     byte = F.conv(F.hex(F.substring("__bitmap", (F.col("__at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
     return found.where(F.call_function("getbit", byte, (F.col("__at") % 8).cast("int")) == 1).select(df.columns)
+
+
+#: Bits of the largest bitmap that thins out rows ahead of a shuffle: 16 MB.
+MOST_BITS = 27
+#: Rows up to which a narrow table is broadcast: some megabytes.
+FEW_ROWS = 100_000
+
+
+def thinned(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of `df` whose key is in the (written) table `keys`, and a few others: the bitmap has 16 bits for each key, up
+    to MOST_BITS bits; with more keys than that, more others stay."""
+    width = max(15, min(MOST_BITS, (16 * keys.count()).bit_length()))
+    return maybe_in(df, key, bitmap(keys, key, width), width)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A narrow table of so many rows, to be broadcast if they are few and joined as Spark sees fit if not."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if rows <= FEW_ROWS else df

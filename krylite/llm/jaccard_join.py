@@ -1,16 +1,18 @@
 """N-gram Jaccard join with vertical partitioning.
 
-A global order of n-grams, frequent ones last, is cut into fragments. Candidate pairs share an n-gram of their prefixes
-in that order; their overlap is counted fragment by fragment, apart from one another, and summed per pair. Texts with
-the same set of n-grams are one class and compared once.
+A global order of n-grams, frequent ones last, is cut into fragments. Candidate pairs share n-grams of their prefixes in
+that order; their overlap is counted fragment by fragment, apart from one another, and summed per pair. Texts with the
+same set of n-grams are one class and compared once.
 
-Before texts are read again, the sizes of a pair's fragments bound its overlap from above: the smaller one of each
-fragment, summed. Pairs under the bound go.
+Prefixes are half as long again as one common n-gram needs, so that a set that links with any other has several n-grams
+of its prefix in common with other sets. A set with fewer links with nothing and is left out before pairs are formed:
+that is most sets, also of those with a passage in common. Before texts are read again, the sizes of a pair's ranges of
+fingerprints bound its overlap from above: the smaller one of each range, summed. Pairs under the bound go.
 
 The result is whole without listing all pairs of a group of near copies. First every class is compared with one hub of
 each of its prefix n-grams; that joins most of a group. Then every prefix n-gram that still has classes of different
 components gives all pairs between different components, and those are compared as well. A pair that is never compared
-lies within one component, or shares no prefix n-gram and so can't reach the threshold.
+lies within one component, or shares too few prefix n-grams and so can't reach the threshold.
 
 N-grams and their sets are compared by 64-bit fingerprints.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bitmap, materialize, maybe_in, release, slices
+from .common import materialize, release, sliced, small, thinned
 from .components import components
 
 #: Buckets of the n-gram frequency table: a fixed size, whatever the corpus.
@@ -34,18 +36,20 @@ BUCKET_BITS = 22
 #: N-grams met fewer times than this in repeats aren't set back in the order.
 FREQUENT = 16
 #: Ranges of fingerprints whose sizes are kept for every set.
-RANGES = 32
-#: Bits of the fixed-size bitmaps that thin out rows ahead of a shuffle.
-TOKEN_BITS, ID_BITS = 25, 23
+RANGES = 64
 #: N-grams that a task counts at a time.
-COUNT_ROWS = 3_000_000
+COUNT_ROWS = 2_000_000
+#: Sets that are compared with one copy of their hub's fragments.
+MEMBERS = 256
+#: Characters of text that are cut into words at a time.
+SLICE = 1_000_000
 
 
 class WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 250_000:  # bounded memory: hashed again as met
+        if len(self) > 100_000:  # bounded memory: hashed again as met
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -99,60 +103,47 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def batches_of_sets(batches: Iterator[pa.RecordBatch], n: int):
-    for b in batches:
-        texts = [t or "" for t in b.column(1).to_pylist()]
-        keys = b.column(0)
-        for lo, hi in slices(texts):
-            yield keys.slice(lo, hi - lo), shingle_sets(texts[lo:hi], n)
+    """Keys and n-gram sets of consecutive rows (key, text), a bounded amount of text at a time."""
+    for part, texts in sliced(batches, 1, SLICE):
+        yield part.column(0), shingle_sets(texts, n)
 
 
-SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("bucket", T.IntegerType()), T.StructField("count", T.LongType())])
+COUNTED = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("count", T.LongType())])
 
 
-def sign(docs: DataFrame, n: int) -> DataFrame:
-    """In one pass over the texts: rows with id, n, sid (set size and fingerprint) and
-    sizes (n-grams in each range of fingerprints), and rows with bucket and count: how
-    often n-grams that repeat between different sets of a task were met."""
+def repeats(docs: DataFrame, n: int) -> DataFrame:
+    """bucket and count: how often n-grams that repeat between different sets of a task were met."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(SIGNED)
+    arrow = to_arrow_schema(COUNTED)
 
     def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        every, times = np.unique(np.concatenate(held), return_counts=True)
-        often = times > 1
-        bucket, at = np.unique((every[often] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), return_inverse=True)
-        total = np.bincount(at, times[often], len(bucket)).astype(np.int64)
-        none = pa.nulls(len(bucket), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(bucket), arrow.field("sizes").type), pa.array(bucket), pa.array(total)], schema=arrow)
+        every = np.concatenate(held)
+        held.clear()
+        every.sort()
+        again = np.flatnonzero(every[1:] == every[:-1])
+        # a run of k equal n-grams counts k: one for each that follows an equal one, and one for the first
+        first = np.concatenate([[True], every[again[1:]] != every[again[:-1]]]) if len(again) else np.empty(0, bool)
+        bucket, at = np.unique((every[again] >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), return_inverse=True)
+        total = np.bincount(at, 1 + first, len(bucket)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(total)], schema=arrow)
 
     def run(batches):
         held, size, seen = [], 0, set()
-        for keys, sets in batches_of_sets(batches, n):
-            sids = [fingerprint(s) if len(s) else None for s in sets]
-            none = pa.nulls(len(sets))
-            sizes = np.stack([ranges(s) for s in sets]).ravel().astype(np.int32) if sets else np.empty(0, np.int32)
-            sizes = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * RANGES), pa.array(sizes)).cast(arrow.field("sizes").type)
-            yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), sizes, none.cast(pa.int32()), none.cast(pa.int64())], schema=arrow)
-            for s, sid in zip(sets, sids, strict=True):
-                if sid is not None and sid not in seen:
-                    seen.add(sid)
-                    held.append(s)
-                    size += len(s)
-                    if size > COUNT_ROWS:
-                        yield counted(held)
-                        held, size, seen = [], 0, set()
+        for _, sets in batches_of_sets(batches, n):
+            for s in sets:
+                if not len(s) or (sid := fingerprint(s)) in seen:
+                    continue
+                seen.add(sid)
+                held.append(s)
+                size += len(s)
+                if size > COUNT_ROWS:
+                    yield counted(held)
+                    size, seen = 0, set()
         if held:
             yield counted(held)
 
-    return docs.mapInArrow(run, SIGNED)
-
-
-def ranges(s: np.ndarray) -> np.ndarray:
-    """How many n-grams of a sorted set fall into each range of fingerprints."""
-    return np.diff(np.searchsorted(s, EDGES), append=len(s))
-
-
-EDGES = np.arange(RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1)
+    return docs.mapInArrow(run, COUNTED)
 
 
 def levels(counts: DataFrame) -> np.ndarray:
@@ -163,6 +154,14 @@ def levels(counts: DataFrame) -> np.ndarray:
     return table
 
 
+def ranges(s: np.ndarray) -> np.ndarray:
+    """How many n-grams of a sorted set fall into each range of fingerprints."""
+    return np.diff(np.searchsorted(s, EDGES), append=len(s))
+
+
+EDGES = np.arange(RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1)
+
+
 def in_order(s: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A set in the global order, and the levels alongside: rare n-grams by fingerprint, then ever more frequent ones."""
     level = table[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
@@ -184,39 +183,73 @@ class Broadcasts:
         return np.frombuffer(zlib.decompress(self.value.value), np.uint8)
 
 
-POSTING = T.StructType([T.StructField("token", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("common", T.FloatType())])
+def needed_prefix(n, percent: int):
+    """Length of the prefix in which a set shares an n-gram with every set that it links with."""
+    if isinstance(n, int):
+        return n - -(-percent * n // 100) + 1
+    return n - F.ceil(percent * n / 100).cast("int") + 1
 
 
-def postings(docs: DataFrame, sent: Broadcasts, n: int, percent: int) -> DataFrame:
-    """The prefix of every set in the global order: token, sid, n, pos, and how frequent the set's n-grams are in all."""
+def prefix_size(n, percent: int):
+    """Length of the prefix that is used: half as long again."""
+    p = needed_prefix(n, percent)
+    if isinstance(n, int):
+        return min(n, p + p // 2)
+    return F.least(n, p + F.floor(p / 2).cast("int"))
+
+
+def least_shared(n: F.Column, percent: int) -> F.Column:
+    """N-grams of a set's prefix that stand in the prefix of another, if it links with any.
+
+    Of two linked sets, the one whose prefix ends first in the order has at most needed_prefix - 1 n-grams of its own
+    there, so the others are common, and in both prefixes. The number grows with the set; the smallest set that may link
+    with one of n n-grams has percent % of them.
+    """
+    m = F.ceil(percent * n / 100).cast("int")
+    return prefix_size(m, percent) - needed_prefix(m, percent) + 1
+
+
+SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("common", T.FloatType()), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("token", T.LongType()), T.StructField("place", T.LongType())])
+
+
+def sign(docs: DataFrame, sent: Broadcasts, n: int, percent: int) -> DataFrame:
+    """In one pass over the texts, rows of two kinds: id, n, sid (the set's fingerprint), how frequent its n-grams are in
+    all, and sizes (n-grams in each range of fingerprints) of every document; token, sid and place (n and the position)
+    of the prefix n-grams of every set with a key, once a task."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(POSTING)
+    arrow = to_arrow_schema(SIGNED)
 
     def run(batches):
-        table = sent.table()
-        for _, sets in batches_of_sets(batches, n):
-            tokens, sids, sizes, places, common = [], [], [], [], []
-            seen = set()
-            for s in sets:
-                sid = fingerprint(s) if len(s) else None
-                if sid is None or sid in seen:
+        table, seen = sent.table(), set()
+        for keys, sets in batches_of_sets(batches, n):
+            sids = [fingerprint(s) if len(s) else None for s in sets]
+            found = [table[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] for s in sets]
+            common = [float(x.mean()) if len(x) else None for x in found]
+            sizes = np.stack([ranges(s) for s in sets]).ravel().astype(np.int32)
+            sizes = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * RANGES), pa.array(sizes)).cast(arrow.field("sizes").type)
+            none = pa.nulls(len(sets), pa.int64())
+            yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), pa.array(common, pa.float32()), sizes, none, none], schema=arrow)
+            tokens, owner, places = [], [], []
+            for s, sid, level, known in zip(sets, sids, found, keys.is_valid().to_pylist(), strict=True):
+                if sid is None or not known or sid in seen:
                     continue
+                if len(seen) > 200_000:  # bounded memory: a set may be listed again
+                    seen.clear()
                 seen.add(sid)
-                level = table[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
                 p = prefix_size(len(s), percent)
                 ordered = s[level == 0]
                 if len(ordered) < p:
                     ordered, _ = in_order(s, table)
                 tokens.append(signed(ordered[:p]))
-                places.append(np.arange(p, dtype=np.int32))
-                sids.append(np.full(p, sid, np.int64))
-                sizes.append(np.full(p, len(s), np.int32))
-                common.append(np.full(p, level.mean(), np.float32))
+                places.append(np.arange(p, dtype=np.int64) + (len(s) << 32))
+                owner.append(np.full(p, sid, np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sids, sizes, places, common)], schema=arrow)
+                tokens, owner, places = map(np.concatenate, (tokens, owner, places))
+                none = pa.nulls(len(tokens), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(owner), none.cast(pa.float32()), pa.nulls(len(tokens), arrow.field("sizes").type), pa.array(tokens), pa.array(places)], schema=arrow)
 
-    return docs.mapInArrow(run, POSTING)
+    return docs.mapInArrow(run, SIGNED)
 
 
 def fragments(docs: DataFrame, sent: Broadcasts, n: int, cuts: int) -> DataFrame:
@@ -250,34 +283,35 @@ def fragments(docs: DataFrame, sent: Broadcasts, n: int, cuts: int) -> DataFrame
     return docs.mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sent: Broadcasts, n: int, percent: int, cuts: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that reach the threshold: partial overlaps per fragment, summed per pair."""
-    size_of = lambda c: classes.select(F.col("sid").alias(c), F.col("sizes").alias(f"s{c}"))
+def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, sent: Broadcasts, n: int, percent: int, cuts: int) -> DataFrame:
+    """The pairs (a, b, ra, rb, na, nb: sets, their documents, their sizes) that reach the threshold, as links (ra, rb).
+
+    Partial overlaps are counted per fragment and summed per pair. A set b with many partners has copies of its
+    fragments, one for so many of them, and so isn't one task's work.
+    """
+    ends = pairs.select(F.col("ra").alias("id")).union(pairs.select("rb"))
+    ends = materialize(ends.distinct(), "jac-ends")
+    sizes = materialize(thinned(rows, "id", ends).select("sid", "sizes").groupBy("sid").agg(F.first("sizes").alias("sizes")), "jac-sizes")
+    size_of = lambda c: sizes.select(F.col("sid").alias(c), F.col("sizes").alias(f"s{c}"))
     most = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     bounded = pairs.join(size_of("a"), "a").join(size_of("b"), "b").where((100 + percent) * most >= percent * (F.col("na") + F.col("nb")))
-    pairs = materialize(bounded.select("a", "b", "na", "nb"), "jac-bounded")
-    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct().join(classes, "sid").select(F.col("rep").alias("id"))
-    needed = materialize(needed, "jac-needed")
-    likely = maybe_in(docs, "id", bitmap(needed, "id", ID_BITS), ID_BITS)
-    texts = likely.join(needed, "id", "left_semi")
-    parts = materialize(fragments(texts, sent, n, cuts), "jac-fragments")
-    left = parts.withColumnsRenamed({"sid": "a", "tokens": "ta"})
-    right = parts.withColumnsRenamed({"sid": "b", "tokens": "tb"})
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("overlap"))
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    out = materialize(total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"), "jac-links")
-    for x in (parts, needed, pairs):
+    copies = bounded.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("copies"))
+    bounded = bounded.drop("sa", "sb")
+    chosen = materialize(bounded.join(copies, "b").select(*pairs.columns, "copies", F.pmod(F.xxhash64("a"), "copies").cast("int").alias("copy")), "jac-bounded")
+    needed = materialize(chosen.select(F.col("ra").alias("id")).union(chosen.select("rb")).distinct(), "jac-needed")
+    parts = materialize(fragments(thinned(docs, "id", needed), sent, n, cuts), "jac-fragments")
+    few = chosen.count()
+    left = parts.join(small(chosen.drop("copies"), few), F.col("sid") == F.col("a")).select("a", "b", "copy", "fragment", "ra", "rb", "na", "nb", F.col("tokens").alias("ta"))
+    spread = chosen.select("b", "copies").distinct().withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    right = parts.join(small(spread, few), F.col("sid") == F.col("b")).select("b", "copy", "fragment", F.col("tokens").alias("tb"))
+    partial = left.join(right, ["b", "copy", "fragment"]).select("a", "b", "ra", "rb", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("overlap"))
+    total = partial.groupBy("a", "b", "ra", "rb", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+    out = materialize(total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("ra", "rb"), "jac-links")
+    for x in (parts, needed, chosen, sizes, ends):
         release(x)
     return out
 
 
-def prefix_size(n, percent: int):
-    """Length of the prefix in which a set shares an n-gram with every set that it links with."""
-    if isinstance(n, int):
-        return n - -(-percent * n // 100) + 1
-    return n - F.ceil(percent * n / 100).cast("int") + 1
-
-
 def similar_sizes(percent: int) -> F.Column:
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
@@ -294,57 +328,55 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
         raise ValueError("percent must be in 1..100")
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    # repeats are counted within tasks: many small input parts are put together, without a shuffle
-    parts = max(2 * spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions() // 16)
-    signed_rows = materialize(sign(docs.coalesce(parts), n), "jac-signed")
-    rows = signed_rows.where("n is not null").select("id", "n", "sid")
-    classes = signed_rows.where("sid is not null and id is not null").groupBy("sid").agg(F.min(F.struct("id", "sizes")).alias("m")).select("sid", F.col("m.id").alias("rep"), "m.sizes")
+    sent = Broadcasts(spark, levels(repeats(docs, n)))
+    made = materialize(sign(docs, sent, n, percent), "jac-signed")
+    rows, listed = made.where("n is not null"), made.where("token is not null").select("token", "sid", "place")
+    classes = rows.where("sid is not null and id is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.max("common").alias("common"))
     classes = materialize(classes, "jac-classes")
-    sent = Broadcasts(spark, levels(signed_rows.where("bucket is not null")))
-
-    every = postings(docs, sent, n, percent)
-    every = materialize(every, "jac-postings")
-    shared = every.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token")
-    shared = materialize(shared, "jac-tokens")
-    likely = maybe_in(every, "token", bitmap(shared, "token", TOKEN_BITS), TOKEN_BITS)
-    held = materialize(likely.join(shared, "token", "left_semi"), "jac-shared")
-    release(every)
+
+    # n-grams that stand in the prefixes of several sets, and the sets with enough of them
+    shared = materialize(listed.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token"), "jac-tokens")
+    met = thinned(listed, "token", shared).join(shared, "token", "left_semi")
+    sets = met.groupBy("sid").agg(F.collect_set(F.struct("token", "place")).alias("at")).withColumn("n", F.shiftright(F.col("at")[0]["place"], 32).cast("int"))
+    sets = sets.where(F.size("at") >= least_shared(F.col("n"), percent)).join(classes, "sid").select("sid", "rep", "n", "common", F.explode("at").alias("x"))
+    held = materialize(sets.select("x.token", "sid", "rep", "n", "common", F.col("x.place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")), "jac-shared")
     release(shared)
 
     # each class with the hub of each of its prefix n-grams: the set made of the most common n-grams
-    hubs = held.groupBy("token").agg(F.max(F.struct("common", "sid", "n")).alias("hub"))
-    pairs = held.join(hubs, "token").where(F.col("sid") != F.col("hub.sid")).select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b"), F.when(F.col("sid") < F.col("hub.sid"), F.col("n")).otherwise(F.col("hub.n")).alias("na"), F.when(F.col("sid") < F.col("hub.sid"), F.col("hub.n")).otherwise(F.col("n")).alias("nb"))
+    hubs = held.groupBy("token").agg(F.max(F.struct("common", "sid", "rep", "n")).alias("hub"))
+    pairs = held.join(hubs, "token").where(F.col("sid") != F.col("hub.sid")).select(F.col("sid").alias("a"), F.col("hub.sid").alias("b"), F.col("rep").alias("ra"), F.col("hub.rep").alias("rb"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
     first = materialize(pairs.where(similar_sizes(percent)).distinct(), "jac-pairs")
-    links = verified(first, docs, classes, sent, n, percent, cuts)
+    links = verified(first, docs, rows, sent, n, percent, cuts)
 
     # n-grams that still have different components: all pairs between those
-    comp = components(links)
-    placed = held.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    placed = materialize(placed.groupBy("token", "sid", "n", "component").agg(F.min("pos").alias("pos")), "jac-placed")
+    comp = components(links, "ra", "rb")
+    placed = held.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = materialize(placed.select("token", "sid", "rep", "n", "pos", "component"), "jac-placed")
     split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     # ahead of an n-gram, only those others count that other components have as well
     apart = placed.join(split, "token", "left_semi").withColumn("rank", F.row_number().over(W.partitionBy("sid").orderBy("pos")) - 1)
-    a = apart.select("token", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("rank").alias("ra"), F.col("component").alias("ca"))
-    b = apart.select("token", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("rank").alias("rb"), F.col("component").alias("cb"))
-    most = F.least("ra", "rb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
+    side = lambda x: apart.select("token", *[F.col(c).alias(f"{k}{x}") for c, k in (("sid", ""), ("rep", "r"), ("n", "n"), ("pos", "p"), ("rank", "k"), ("component", "c"))])
+    most = F.least("ka", "kb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
     reach = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
-    cross = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar_sizes(percent) & reach)
+    cross = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar_sizes(percent) & reach)
     # of the prefixes, the one that ends first in the order holds every common n-gram up to there
     behind = lambda k: F.col(k) - prefix_size(F.col(k), percent)
-    cross = cross.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("met")).where((100 + percent) * (F.col("met") + F.greatest(behind("na"), behind("nb"))) >= percent * (F.col("na") + F.col("nb")))
-    second = materialize(cross.join(first.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "jac-pairs")
-    more = verified(second, docs, classes, sent, n, percent, cuts) if second.limit(1).count() else None
-    found = links.unionByName(more) if more is not None else links
-
-    of = lambda c: classes.select(F.col("sid").alias(c), F.col("rep").alias(f"r{c}"))
-    final = components(found.join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    for x in (held, first, placed, second):
+    cross = cross.groupBy("a", "b", "ra", "rb", "na", "nb").agg(F.count("*").alias("met")).where((100 + percent) * (F.col("met") + F.greatest(behind("na"), behind("nb"))) >= percent * (F.col("na") + F.col("nb")))
+    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = materialize(cross.join(tried, ["a", "b"], "left_anti").select(first.columns), "jac-pairs")
+    found = comp
+    if second.limit(1).count():
+        more = verified(second, docs, rows, sent, n, percent, cuts)
+        found = components(links.unionByName(more), "ra", "rb")
+        release(more)
+    for x in (held, first, placed, second, links):
         release(x)
-    result = rows.join(classes.select("sid", "rep"), "sid", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    result = rows.select("id", "n", "sid").join(classes.select("sid", "rep"), "sid", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return result.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """n_shingles and component_id of every document: three-word shingles, Jaccard 0.9 or more."""
     from .common import table
 
     return jaccard_classes(table(spark, sf_dir, "documents"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, materialize, release, slices
+from .common import map_rows, materialize, release, sliced
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -159,15 +159,13 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for lo, hi in slices(texts):
-                found, seen = [], []
-                for t in texts[lo:hi]:
-                    spans = base_spans(t)
-                    found.append([{"start": a, "end": b, "kind": k} for a, k, b in spans])
-                    seen.append([dict(zip(("start", "end", "kind", "entity", "left", "right"), x, strict=True)) for x in instances(t, spans)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(found, arrow.field(1).type), pa.array(seen, arrow.field(2).type)], schema=arrow)
+        for rows, texts in sliced(batches, 1):
+            found, seen = [], []
+            for t in texts:
+                spans = base_spans(t)
+                found.append([{"start": a, "end": b, "kind": k} for a, k, b in spans])
+                seen.append([dict(zip(("start", "end", "kind", "entity", "left", "right"), x, strict=True)) for x in instances(t, spans)])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found, arrow.field(1).type), pa.array(seen, arrow.field(2).type)], schema=arrow)
 
     return narrow.mapInArrow(run, schema)
 
