@@ -56,20 +56,24 @@ def release(df: DataFrame | None) -> None:
         remove(df.sparkSession, path)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], at: int, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Consecutive rows with their texts (column `at`; null as empty), about `most` bytes of text at a time, and at least
-    one row; only so much text is in Python at once."""
+def parts_of(batches: Iterator[pa.RecordBatch], at: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Consecutive rows with about `most` bytes of text (column `at`) at a time, and at least one row."""
     for batch in batches:
         ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(at)), 0).cast(pa.int64())).to_numpy()
         start = 0
         while start < len(ends):
             before = int(ends[start - 1]) if start else 0
             end = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
-            part = batch.slice(start, end - start)
-            yield part, [t or "" for t in part.column(at).to_pylist()]
+            yield batch.slice(start, end - start)
             start = end
 
 
+def sliced(batches: Iterator[pa.RecordBatch], at: int, most: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The same with the texts (null as empty): only so much text is in Python at once."""
+    for part in parts_of(batches, at, most):
+        yield part, [t or "" for t in part.column(at).to_pylist()]
+
+
 def slices(texts: list[str], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of about `most` characters each, at least one text a range."""
     start, size = 0, 0

@@ -1,24 +1,39 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is cut into segments, each indexed by its value. A query looks up its own segment values, then all values at
-distance 1 from them, and so on. After all of m segments have been searched to radius r, every code within Hamming
-distance m * (r + 1) - 1 has been met, since a code further than r in each segment differs in m * (r + 1) bits at least.
-The search stops when the kth verified distance is within that bound (ties included), so the answer is exact.
-
-Rows are cut into blocks of bounded size, each with its own index; queries are cut into blocks too, every pair of blocks
-is one group, and only k rows for each query and block leave a group.
+A code is cut into segments, each as wide as the logarithm of the number of codes, and a table lists every code under
+the value of each of its segments. A query looks up its own segment values, then all values at distance 1 from them, and
+so on: one join by segment and value for each radius. After all m segments have been searched to radius r, every code
+within Hamming distance m * (r + 1) - 1 has been met, since a code further than r in each segment differs in m * (r + 1)
+bits at least. A query whose kth verified distance is within that bound (ties included) is done and leaves; the others go
+on to the next radius, so the answer is exact.
+
+Equal codes are one class, with the k + 1 smallest ids, as only those can be among the k nearest of anything. A code is
+met once: at the first of its segments that is nearest to the query's. Where the values to look up would outnumber the
+codes, the queries that are left (in practice those of tables with few codes) are compared with all codes in blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import materialize, release, small
+
+#: Widest segment; values are numbers of so many bits.
+WIDEST = 32
+#: Values that a query looks up in a segment at a radius, at most; beyond that all codes are compared.
+MOST_FLIPS = 200_000
+#: Codes and queries of a block where all are compared.
+BLOCK_CODES, BLOCK_QUERIES = 65_536, 1024
 
 
 def sign_codes(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -32,108 +47,132 @@ def sign_codes(df: DataFrame, key: str, vector: str) -> DataFrame:
 
 @lru_cache(maxsize=64)
 def masks(width: int, radius: int) -> np.ndarray:
-    return np.array([sum(1 << i for i in c) for c in combinations(range(width), radius)], np.uint64)
-
-
-class CodeIndex:
-    """Segment tables over one block of codes; codes are rows of 64-bit words."""
-
-    def __init__(self, ids: np.ndarray, codes: np.ndarray, bits: int, segments: int):
-        self.ids, self.codes, self.bits = ids, codes, bits
-        self.cuts = [(i * bits // segments, (i + 1) * bits // segments) for i in range(segments)]
-        self.tables = []
-        for a, b in self.cuts:
-            values = self.segment(codes, a, b)
-            order = np.argsort(values, kind="stable")
-            self.tables.append((values[order], order))
-
-    @staticmethod
-    def segment(codes: np.ndarray, a: int, b: int) -> np.ndarray:
-        out = np.zeros(len(codes), np.uint64)
-        for j, i in enumerate(range(a, b)):
-            out |= ((codes[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)) << np.uint64(j)
-        return out
-
-    def search(self, code: np.ndarray, k: int, skip=None) -> list[tuple[int, int]]:
-        """The k nearest (distance, id), ties by id."""
-        met = np.zeros(len(self.ids), bool)
-        ids, dist = np.empty(0, np.int64), np.empty(0, np.int64)
-        own = [self.segment(code[None], a, b)[0] for a, b in self.cuts]
-        n = len(self.ids)
-        for radius in range(max(b - a for a, b in self.cuts) + 1):
-            fresh = []
-            for (a, b), value, (values, order) in zip(self.cuts, own, self.tables, strict=True):
-                if radius > b - a:
-                    continue
-                if len(flips := masks(b - a, radius)) > 4 * n:
-                    fresh.append(np.arange(n))  # more values than codes: all are looked at
-                    continue
-                wanted = value ^ flips
-                lo, hi = np.searchsorted(values, wanted, "left"), np.searchsorted(values, wanted, "right")
-                some = np.flatnonzero(hi > lo)
-                if len(some):
-                    size = hi[some] - lo[some]
-                    at = np.repeat(lo[some] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                    fresh.append(order[at])
-            if fresh:
-                at = np.unique(np.concatenate(fresh))
-                at = at[~met[at]]
-                met[at] = True
-                d = np.bitwise_count(self.codes[at] ^ code).sum(1).astype(np.int64)
-                i = self.ids[at]
-                if skip is not None:
-                    d, i = d[i != skip], i[i != skip]
-                ids, dist = np.concatenate([ids, i]), np.concatenate([dist, d])
-                if len(ids) > k:
-                    keep = np.lexsort((ids, dist))[:k]
-                    ids, dist = ids[keep], dist[keep]
-            covered = len(self.cuts) * (radius + 1) - 1
-            if len(ids) >= k and dist.max() <= covered or met.all():
-                break
-        keep = np.lexsort((ids, dist))[:k]
-        return list(zip(dist[keep].tolist(), ids[keep].tolist(), strict=True))
-
-
-def pack_bits(texts: list[str], words: int) -> np.ndarray:
-    out = np.zeros((len(texts), words), np.uint64)
-    for i, t in enumerate(texts):
-        x = int(t[::-1], 2) if t else 0
-        for j in range(words):
-            out[i, j] = (x >> (64 * j)) & 0xFFFFFFFFFFFFFFFF
-    return out
-
-
-def nearest(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4, key: str = "vec_id", block_rows: int = 65_536, query_rows: int = 4096) -> DataFrame:
+    """The numbers of so many bits with `radius` bits set."""
+    return np.array([sum(1 << i for i in c) for c in combinations(range(width), radius)], np.int64)
+
+
+def classes_of(rows: DataFrame, key: str, width: int, most: int) -> DataFrame:
+    """bits, width, code (the segments' values), ids (the `most` smallest) and rep (the smallest) of each different code."""
+    ids = rows.select("bits", F.col(key).cast("long").alias("id")).distinct()
+    first = ids.withColumn("__rank", F.row_number().over(W.partitionBy("bits").orderBy("id"))).where(F.col("__rank") <= most)
+    got = first.groupBy("bits").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    cuts = F.sequence(F.lit(0), F.ceil(F.length("bits") / width).cast("int") - 1)
+    code = F.when(F.length("bits") > 0, F.transform(cuts, lambda i: F.conv(F.substring(F.col("bits"), i * width + 1, F.lit(width)), 2, 10).cast("long"))).otherwise(F.array().cast("array<long>"))
+    return got.select("bits", F.length("bits").alias("width"), code.alias("code"), "ids", F.col("ids")[0].alias("rep"))
+
+
+def probes(active: DataFrame, width: int, radius: int) -> DataFrame:
+    """rep, width, code, segment and value: what each query looks up at this radius."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType([*(active.schema[c] for c in ("rep", "width", "code")), T.StructField("segment", T.IntegerType()), T.StructField("value", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch["width"].to_numpy()
+            for bits in np.unique(total):
+                part = batch.filter(pa.array(total == bits))
+                code = np.array(part["code"].to_pylist(), np.int64).reshape(len(part), -1)
+                for j in range(code.shape[1]):
+                    flips = masks(min(width, int(bits) - j * width), radius) if radius <= min(width, int(bits) - j * width) else np.empty(0, np.int64)
+                    step = max(1, 50_000 // max(1, len(flips)))
+                    for lo in range(0, len(part) if len(flips) else 0, step):
+                        some = part.slice(lo, step)
+                        rows = pa.array(np.repeat(np.arange(len(some)), len(flips)))
+                        values = (code[lo : lo + step, j, None] ^ flips[None]).ravel()
+                        cols = [some[c].take(rows) for c in ("rep", "width", "code")]
+                        cols += [pa.array(np.full(len(values), j, np.int32)), pa.array(values)]
+                        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
+    return active.select("rep", "width", "code").mapInArrow(run, schema)
+
+
+def bits_apart(a: str, b: str) -> F.Column:
+    """Distances by segment."""
+    return F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int"))
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """Of rows (rep, other, distance, n) the nearest k + 1 codes of each query: no other holds one of its nearest ids."""
+    nearest = W.partitionBy("rep").orderBy("distance", "other")
+    return found.withColumn("__rank", F.row_number().over(nearest)).where(F.col("__rank") <= k + 1).drop("__rank")
+
+
+def compared(active: DataFrame, classes: DataFrame, n_codes: int, n_queries: int, k: int) -> DataFrame:
+    """rep, other, distance, n: the nearest codes of each query by blocks of codes and of queries."""
+    blocks, qblocks = max(1, -(-n_codes // BLOCK_CODES)), max(1, -(-n_queries // BLOCK_QUERIES))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    h = F.xxhash64("rep", "width")
+    held = classes.select("width", F.pmod(h, F.lit(blocks)).cast("int").alias("block"), spread(qblocks).alias("qblock"), F.lit(False).alias("asks"), "rep", "code", F.size("ids").alias("n"))
+    asks = active.select("width", spread(blocks).alias("block"), F.pmod(h, F.lit(qblocks)).cast("int").alias("qblock"), F.lit(True).alias("asks"), "rep", "code", F.lit(0).alias("n"))
+    out = pa.schema([("rep", pa.int64()), ("width", pa.int32()), ("other", pa.int64()), ("distance", pa.int32()), ("n", pa.int32())])
+
+    def compare(t: pa.Table) -> pa.Table:
+        asks = t["asks"].to_numpy(zero_copy_only=False)
+        code = np.array(t["code"].to_pylist(), np.int64).reshape(len(t), -1).astype(np.uint64)
+        rep, n = t["rep"].to_numpy(), t["n"].to_numpy()
+        mine, ids, size = code[~asks], rep[~asks], n[~asks]
+        cols: list[list] = [[], [], [], []]
+        for q, c in zip(rep[asks].tolist(), code[asks], strict=True):
+            d = np.bitwise_count(mine ^ c).sum(1).astype(np.int64)
+            at = np.lexsort((ids, d))[: k + 1]
+            cols[0] += [q] * len(at)
+            for x, y in zip(cols[1:], (ids, d, size), strict=True):
+                x += y[at].tolist()
+        width = pa.array(np.full(len(cols[0]), t["width"][0].as_py()), pa.int32())
+        arrays = [pa.array(cols[0], pa.int64()), width, pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())]
+        return pa.Table.from_arrays(arrays, schema=out)
+
+    found = held.unionByName(asks).groupBy("width", "block", "qblock").applyInArrow(compare, "rep long, width int, other long, distance int, n int")
+    return best_of(found, k)
+
+
+def nearest(codes: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", width: int | None = None) -> DataFrame:
     """query_id, neighbour_id, distance, rank (1 to k) for each query; a query never finds the row of its own id.
 
     `codes` and `queries` hold key (long) and bits (string of 0 and 1). Codes of another length than a query's are no
     neighbours of it. Ties go to the smaller id. Fewer than k rows come out only where fewer candidates exist; empty
-    inputs give an empty result. Repeated ids are searched as rows of their own and reported once.
+    inputs give an empty result. Ids are taken as distinct; rows that repeat count once; null ids and codes are left out.
+    `width` is the bits of a segment, by default log2 of the number of codes.
     """
-    spark = codes.sparkSession
-    blocks = max(1, -(-codes.count() // block_rows))
-    qblocks = max(1, -(-queries.count() // query_rows))
-    row = F.xxhash64(key, "bits")
-    data = codes.select(F.length("bits").alias("width"), F.pmod(row, F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("qblock"), F.lit(False).alias("asks"), F.col(key).cast("long").alias("id"), "bits")
-    asked = queries.select(F.length("bits").alias("width"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(row, F.lit(qblocks)).alias("qblock"), F.lit(True).alias("asks"), F.col(key).cast("long").alias("id"), "bits")
-    both = data.withColumn("block", F.col("block").cast("int")).withColumn("qblock", F.col("qblock").cast("int")).unionByName(asked.withColumn("block", F.col("block").cast("int")).withColumn("qblock", F.col("qblock").cast("int")))
-    out = pa.schema([("query_id", pa.int64()), ("neighbour_id", pa.int64()), ("distance", pa.int32())])
-
-    def search(t: pa.Table) -> pa.Table:
-        bits = t["width"][0].as_py()
-        asks = t["asks"].to_numpy(zero_copy_only=False)
-        ids, codes = t["id"].to_numpy(), pack_bits(t["bits"].to_pylist(), max(1, -(-bits // 64)))
-        rows = []
-        if asks.any() and not asks.all():
-            index = CodeIndex(ids[~asks], codes[~asks], bits, max(1, min(segments, bits)))
-            for q, c in zip(ids[asks].tolist(), codes[asks], strict=True):
-                rows += [(q, i, d) for d, i in index.search(c, k, q)]
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, out, strict=True)], schema=out)
-
-    found = both.groupBy("width", "block", "qblock").applyInArrow(search, "query_id long, neighbour_id long, distance int").distinct()
-    best = W.partitionBy("query_id").orderBy("distance", "neighbour_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    rows = codes.where(F.col(key).isNotNull() & F.col("bits").isNotNull())
+    count = rows.select("bits").agg(F.approx_count_distinct("bits")).first()[0]
+    w = width or int(np.clip(round(np.log2(max(2, count))), 1, WIDEST))
+    classes = materialize(classes_of(rows, key, w, k + 1), "ham-classes")
+    n_codes = classes.count()
+    asked = queries.where(F.col(key).isNotNull() & F.col("bits").isNotNull()).select(F.col(key).cast("long").alias("query_id"), "bits").distinct()
+    wanted = materialize(classes_of(asked.withColumnRenamed("query_id", key), key, w, 1), "ham-queries")  # rep stands for the query's code
+    index = materialize(classes.select("width", F.posexplode("code").alias("segment", "value"), "rep", "code", F.size("ids").alias("n")), "ham-index")
+    listed = index.count()
+    best, active, radius = None, wanted, 0
+    while (left := active.count()) and radius <= w:
+        if comb(w, radius) > min(MOST_FLIPS, max(1, n_codes)):
+            rest = materialize(compared(active, classes, n_codes, left, k), "ham-best")
+            done = best.join(active.select("rep", "width"), ["rep", "width"], "left_anti") if best is not None else None
+            best = rest if done is None else rest.unionByName(done.select(rest.columns))
+            break
+        asks = probes(active, w, radius).withColumnsRenamed({"rep": "__rep", "code": "__code"})
+        met = asks.join(small(index, listed), ["width", "segment", "value"]).withColumn("__d", bits_apart("__code", "code"))
+        earlier = F.exists(F.transform("__d", lambda d, i: (d < radius) | ((d == radius) & (i < F.col("segment")))), lambda x: x)
+        found = met.where(~earlier).select(F.col("__rep").alias("rep"), "width", F.col("rep").alias("other"), F.aggregate("__d", F.lit(0), lambda x, y: x + y).alias("distance"), "n")
+        known = found if best is None else found.unionByName(best)
+        best = materialize(best_of(known, k), "ham-best")
+        # every code within this distance has been met
+        bound = F.ceil(F.col("width") / w) * (radius + 1) - 1
+        ready = best.groupBy("rep", "width").agg(F.sum(F.when(F.col("distance") <= bound, F.col("n")).otherwise(0)).alias("sure")).where(F.col("sure") > k)
+        active = materialize(active.join(ready, ["rep", "width"], "left_anti"), "ham-active")
+        radius += 1
+    if best is None:
+        return queries.sparkSession.createDataFrame([], "query_id long, neighbour_id long, distance int, rank int")
+    lists = best.select(F.col("rep").alias("asked"), "width", "distance", F.col("other").alias("rep")).join(classes.select("rep", "width", "ids"), ["rep", "width"])
+    near = lists.select("asked", "width", "distance", F.explode("ids").alias("neighbour_id"))
+    of_query = asked.join(wanted.select("bits", "width", F.col("rep").alias("asked")), "bits").select("query_id", "asked", "width")
+    rows = of_query.join(near, ["asked", "width"]).where(F.col("query_id") != F.col("neighbour_id"))
+    rows = rows.groupBy("query_id", "neighbour_id").agg(F.min("distance").alias("distance"))
+    order = W.partitionBy("query_id").orderBy("distance", "neighbour_id")
+    release(index)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def op7_hamming_topk(spark, sf_dir: str) -> DataFrame:

@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, release, sliced, small, thinned
+from .common import materialize, parts_of, release, small, thinned
 from .components import components
 
 #: Buckets of the n-gram frequency table: a fixed size, whatever the corpus.
@@ -41,21 +42,8 @@ RANGES = 64
 COUNT_ROWS = 2_000_000
 #: Sets that are compared with one copy of their hub's fragments.
 MEMBERS = 256
-#: Characters of text that are cut into words at a time.
-SLICE = 1_000_000
-
-
-class WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 100_000:  # bounded memory: hashed again as met
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = WordHash()
+#: Bytes of text that are cut into words at a time.
+SLICE = 400_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,31 +52,78 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str], n: int = 3) -> list[np.ndarray]:
+class Words:
+    """Fingerprints of words, from the bytes of many texts at once: sums of random numbers, one for each byte, times the
+    powers of an odd number by place. Prefix sums give every word's sum, and the inverse power moves it to place 0."""
+
+    def __init__(self) -> None:
+        rng = np.random.default_rng(20_240_229)
+        self.of_byte = rng.integers(0, 1 << 64, 256, np.uint64)
+        self.of_byte[65:91] = self.of_byte[97:123]  # A-Z as a-z
+        self.space = np.zeros(256, bool)
+        self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.power, self.inverse = self.powers(2 * SLICE)
+
+    @staticmethod
+    def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+        base = 0xD6E8FEB86659FD93
+        out = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            p = np.full(n, x, np.uint64)
+            p[0] = 1
+            out.append(np.cumprod(p))
+        return out[0], out[1]
+
+    def cut(self, data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of texts that lie one after another: their fingerprints, and before which word each text begins.
+        `start` has the texts' first places, and the length of all."""
+        n = len(data)
+        if n == 0:
+            return np.empty(0, np.uint64), np.zeros(len(start), np.int64)
+        power, inverse = (self.power, self.inverse) if n <= len(self.power) else self.powers(n)
+        gap = np.empty(n + 1, bool)
+        white = self.space[data]
+        gap[1:], gap[0] = white, True
+        edge = gap.copy()
+        edge[start] = True  # a word ends with its text
+        first = np.flatnonzero(~white & edge[:-1])
+        last = np.flatnonzero(~white & np.append(white[1:] | edge[1:-1], True)) + 1
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.of_byte[data] * power[:n], out=total[1:])
+        h = (total[last] - total[first]) * inverse[first]
+        return mix(h + (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.searchsorted(first, start)
+
+
+_words: list[Words] = []
+
+
+def shingle_sets(texts: pa.Array, n: int = 3) -> list[np.ndarray]:
     """Sorted distinct n-gram fingerprints (unsigned 64 bits) of each text: A-Z lower-cased, words split at ASCII white
-    space; a text of fewer words gives its whole sequence as one, one without words gives none."""
-    split = [t.encode().lower().split() for t in texts]
+    space; a text of fewer words gives its whole sequence as one, one without words (or null) gives none."""
+    if not _words:
+        _words.append(Words())
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, places, data = texts.buffers()
+    start = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8)[start[0] : start[-1]] if data is not None else np.empty(0, np.uint8)
     out = []
-    flat = np.fromiter(map(_words.__getitem__, (w for x in split for w in x)), np.uint64, sum(map(len, split)))
     with np.errstate(over="ignore"):
+        flat, at = _words[0].cut(data, start - start[0])
         total = np.zeros(len(flat), np.uint64)
         for j in range(n):
-            part = np.zeros(len(flat), np.uint64)
-            part[: len(flat) - j if j else None] = flat[j:] if len(flat) > j else 0
-            total = mix(total * np.uint64(0x9E3779B97F4A7C15) + part + np.uint64(j + 1))
-        at = 0
-        for x in split:
-            k = len(x)
+            total[: len(flat) - j] = mix(total[: len(flat) - j] * np.uint64(0x9E3779B97F4A7C15) + flat[j:] + np.uint64(j + 1))
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            k = b - a
             if k >= n:
-                out.append(np.unique(total[at : at + k - n + 1]))
+                s = np.sort(total[a : b - n + 1])
+                out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
             elif k:
                 h = np.uint64(k)
-                for w in flat[at : at + k]:
+                for w in flat[a:b]:
                     h = mix(h * np.uint64(0xD6E8FEB86659FD93) + w)
                 out.append(np.array([h], np.uint64))
             else:
                 out.append(np.empty(0, np.uint64))
-            at += k
     return out
 
 
@@ -104,8 +139,8 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def batches_of_sets(batches: Iterator[pa.RecordBatch], n: int):
     """Keys and n-gram sets of consecutive rows (key, text), a bounded amount of text at a time."""
-    for part, texts in sliced(batches, 1, SLICE):
-        yield part.column(0), shingle_sets(texts, n)
+    for part in parts_of(batches, 1, SLICE):
+        yield part.column(0), shingle_sets(part.column(1), n)
 
 
 COUNTED = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("count", T.LongType())])
@@ -154,14 +189,6 @@ def levels(counts: DataFrame) -> np.ndarray:
     return table
 
 
-def ranges(s: np.ndarray) -> np.ndarray:
-    """How many n-grams of a sorted set fall into each range of fingerprints."""
-    return np.diff(np.searchsorted(s, EDGES), append=len(s))
-
-
-EDGES = np.arange(RANGES, dtype=np.uint64) << np.uint64(64 - RANGES.bit_length() + 1)
-
-
 def in_order(s: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A set in the global order, and the levels alongside: rare n-grams by fingerprint, then ever more frequent ones."""
     level = table[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
@@ -223,31 +250,43 @@ def sign(docs: DataFrame, sent: Broadcasts, n: int, percent: int) -> DataFrame:
     def run(batches):
         table, seen = sent.table(), set()
         for keys, sets in batches_of_sets(batches, n):
+            length = np.fromiter(map(len, sets), np.int64, len(sets))
+            every = np.concatenate(sets)
+            of = np.repeat(np.arange(len(sets)), length)
+            level = table[(every >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
             sids = [fingerprint(s) if len(s) else None for s in sets]
-            found = [table[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)] for s in sets]
-            common = [float(x.mean()) if len(x) else None for x in found]
-            sizes = np.stack([ranges(s) for s in sets]).ravel().astype(np.int32)
+            common = np.bincount(of, level, len(sets)) / np.maximum(length, 1)
+            sizes = np.bincount(of * RANGES + (every >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=len(sets) * RANGES).astype(np.int32)
             sizes = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * RANGES), pa.array(sizes)).cast(arrow.field("sizes").type)
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), pa.array(common, pa.float32()), sizes, none, none], schema=arrow)
-            tokens, owner, places = [], [], []
-            for s, sid, level, known in zip(sets, sids, found, keys.is_valid().to_pylist(), strict=True):
-                if sid is None or not known or sid in seen:
-                    continue
-                if len(seen) > 200_000:  # bounded memory: a set may be listed again
-                    seen.clear()
-                seen.add(sid)
-                p = prefix_size(len(s), percent)
-                ordered = s[level == 0]
-                if len(ordered) < p:
-                    ordered, _ = in_order(s, table)
-                tokens.append(signed(ordered[:p]))
-                places.append(np.arange(p, dtype=np.int64) + (len(s) << 32))
-                owner.append(np.full(p, sid, np.int64))
-            if tokens:
-                tokens, owner, places = map(np.concatenate, (tokens, owner, places))
+            yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array(length), pa.array(sids, pa.int64()), pa.array(common.astype(np.float32)), sizes, none, none], schema=arrow)
+
+            if len(seen) > 200_000:  # bounded memory: a set may be listed again
+                seen.clear()
+            fresh = np.zeros(len(sets), bool)
+            for i, (sid, known) in enumerate(zip(sids, keys.is_valid().to_pylist(), strict=True)):
+                if sid is not None and known and sid not in seen:
+                    seen.add(sid)
+                    fresh[i] = True
+            p = np.array([prefix_size(k, percent) if k else 0 for k in length.tolist()], np.int64)
+            rare = level == 0
+            upto = np.cumsum(rare)
+            begin = np.concatenate([[0], np.cumsum(length)])
+            first = np.concatenate([[0], upto])[begin]  # rare n-grams before each set
+            enough = fresh & (np.diff(first) >= p)
+            rank = upto - first[:-1][of] - 1
+            chosen = np.flatnonzero(rare & enough[of] & (rank < p[of]))
+            tokens, owner, places = [signed(every[chosen])], [of[chosen]], [rank[chosen]]
+            for i in np.flatnonzero(fresh & ~enough).tolist():
+                ordered, _ = in_order(sets[i], table)
+                tokens.append(signed(ordered[: p[i]]))
+                owner.append(np.repeat(i, p[i]))
+                places.append(np.arange(p[i]))
+            tokens, owner, places = map(np.concatenate, (tokens, owner, places))
+            if len(tokens):
+                named = np.array([x or 0 for x in sids], np.int64)[owner]
                 none = pa.nulls(len(tokens), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(owner), none.cast(pa.float32()), pa.nulls(len(tokens), arrow.field("sizes").type), pa.array(tokens), pa.array(places)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(named), none.cast(pa.float32()), pa.nulls(len(tokens), arrow.field("sizes").type), pa.array(tokens), pa.array(places + (length[owner] << 32))], schema=arrow)
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -336,7 +375,7 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
 
     # n-grams that stand in the prefixes of several sets, and the sets with enough of them
     shared = materialize(listed.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token"), "jac-tokens")
-    met = thinned(listed, "token", shared).join(shared, "token", "left_semi")
+    met = thinned(listed, "token", shared).join(shared, "token")  # a semi join would be moved ahead of the thinning
     sets = met.groupBy("sid").agg(F.collect_set(F.struct("token", "place")).alias("at")).withColumn("n", F.shiftright(F.col("at")[0]["place"], 32).cast("int"))
     sets = sets.where(F.size("at") >= least_shared(F.col("n"), percent)).join(classes, "sid").select("sid", "rep", "n", "common", F.explode("at").alias("x"))
     held = materialize(sets.select("x.token", "sid", "rep", "n", "common", F.col("x.place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")), "jac-shared")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from krylite.llm import embedding_dedup, hamming, jaccard_join
@@ -85,7 +86,7 @@ def test_join_edges(spark):
 
 def test_long_text_is_whole():
     text = " ".join(f"w{i}" for i in range(50_000))
-    assert len(jaccard_join.shingle_sets([text])[0]) == 49_998
+    assert len(jaccard_join.shingle_sets(pa.array([text]))[0]) == 49_998
 
 
 # embeddings ----------------------------------------------------------------------------------------------------------
@@ -136,7 +137,7 @@ def test_search_equals_brute_force(spark):
     data = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(600, None), (None, [1.0] * 24), (601, [None] * 24), (602, [1.0] * 8)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").selectExpr("*", "1 AS bits", "2 AS block")
     codes = hamming.sign_codes(df, "vec_id", "embedding")
-    got = hamming.nearest(codes, codes.where("vec_id % 50 = 0"), 7, block_rows=150, query_rows=5).toPandas()
+    got = hamming.nearest(codes, codes.where("vec_id % 50 = 0"), 7, width=6).toPandas()
     b = np.vstack([x > 0, np.zeros((1, 24), bool)])
     ids = [*range(600), 601]
     for q in range(0, 600, 50):
@@ -147,14 +148,19 @@ def test_search_equals_brute_force(spark):
     assert hamming.nearest(codes, codes.limit(0), 3).count() == 0
 
 
-def test_wide_codes():
+def test_codes_with_copies_and_widths(spark):
     rng = np.random.default_rng(5)
-    texts = ["".join(rng.choice(["0", "1"], 130)) for _ in range(300)]
-    codes = hamming.pack_bits(texts, 3)
-    index = hamming.CodeIndex(np.arange(300), codes, 130, 6)
-    for q in range(5):
-        want = sorted((sum(a != b for a, b in zip(texts[q], t, strict=True)), i) for i, t in enumerate(texts))[:4]
-        assert index.search(codes[q], 4) == want
+    texts = ["".join(rng.choice(["0", "1"], 130)) for _ in range(60)] * 3 + ["0" * 9] * 40 + ["0" * 8 + "1"] + ["1"] + [""]
+    near = ["".join("10"[int(c)] if rng.random() < 0.04 else c for c in texts[i % 60]) for i in range(120)]
+    texts += near
+    rows = list(enumerate(texts))
+    codes = spark.createDataFrame(rows + rows[:3] + [(None, "01"), (900, None)], "vec_id long, bits string").repartition(3)
+    got = hamming.nearest(codes, codes.where("vec_id % 10 = 0 or vec_id > 215 and vec_id < 225"), 4, width=5).toPandas()
+    for q, t in rows:
+        if q % 10 == 0 or 215 < q < 225:
+            want = sorted((sum(a != b for a, b in zip(t, x, strict=True)), i) for i, x in rows if i != q and len(x) == len(t))[:4]
+            own = got[got.query_id == q].sort_values("rank")
+            assert list(zip(own.distance, own.neighbour_id, strict=True)) == want, q
 
 
 # shards --------------------------------------------------------------------------------------------------------------
