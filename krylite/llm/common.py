@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,24 +10,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a private one only where the session names none (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if "at" not in _own_dir:
-        _own_dir["at"] = tempfile.mkdtemp(prefix="krylite-")
-    return _own_dir["at"]
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -49,6 +37,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def materialize_kinds(df: DataFrame, kind: str, columns: dict[int, list[str]], name: str) -> dict[int, DataFrame]:
+    """Rows of several kinds from one pass, each kind written to a folder of its own with the columns it has."""
+    from pyspark.sql.types import StructType
+
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.write.partitionBy(kind).parquet(path)
+    out = {}
+    for k, names in columns.items():
+        at = f"{path}/{kind}={k}"
+        schema = StructType([df.schema[c] for c in names])
+        there = spark._jvm.org.apache.hadoop.fs.Path(at)
+        if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            out[k] = spark.read.schema(schema).parquet(at)
+            out[k]._krylite_path = at
+        else:
+            out[k] = spark.createDataFrame([], schema)
+    return out
+
+
 def release(df: DataFrame | None) -> None:
     """Delete what materialize() wrote once nothing reads it any more."""
     path = getattr(df, "_krylite_path", None)

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, parts_of, release, small, thinned
+from .common import materialize, materialize_kinds, parts_of, release, small, thinned
 from .components import components
 
 #: Buckets of the n-gram frequency table: a fixed size, whatever the corpus.
@@ -236,11 +236,11 @@ def least_shared(n: F.Column, percent: int) -> F.Column:
     return prefix_size(m, percent) - needed_prefix(m, percent) + 1
 
 
-SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("common", T.FloatType()), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("token", T.LongType()), T.StructField("place", T.LongType())])
+SIGNED = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("common", T.FloatType()), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("token", T.LongType()), T.StructField("place", T.LongType())])
 
 
 def sign(docs: DataFrame, sent: Broadcasts, n: int, percent: int) -> DataFrame:
-    """In one pass over the texts, rows of two kinds: id, n, sid (the set's fingerprint), how frequent its n-grams are in
+    """In one pass over the texts, rows of two kinds (0 and 1): id, n, sid (the set's fingerprint), how frequent its n-grams are in
     all, and sizes (n-grams in each range of fingerprints) of every document; token, sid and place (n and the position)
     of the prefix n-grams of every set with a key, once a task."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -259,7 +259,7 @@ def sign(docs: DataFrame, sent: Broadcasts, n: int, percent: int) -> DataFrame:
             sizes = np.bincount(of * RANGES + (every >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=len(sets) * RANGES).astype(np.int32)
             sizes = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * RANGES), pa.array(sizes)).cast(arrow.field("sizes").type)
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), pa.array(length), pa.array(sids, pa.int64()), pa.array(common.astype(np.float32)), sizes, none, none], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), keys.cast(pa.int64()), pa.array(length), pa.array(sids, pa.int64()), pa.array(common.astype(np.float32)), sizes, none, none], schema=arrow)
 
             if len(seen) > 200_000:  # bounded memory: a set may be listed again
                 seen.clear()
@@ -286,7 +286,7 @@ def sign(docs: DataFrame, sent: Broadcasts, n: int, percent: int) -> DataFrame:
             if len(tokens):
                 named = np.array([x or 0 for x in sids], np.int64)[owner]
                 none = pa.nulls(len(tokens), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(named), none.cast(pa.float32()), pa.nulls(len(tokens), arrow.field("sizes").type), pa.array(tokens), pa.array(places + (length[owner] << 32))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(tokens), np.int32)), none, none, pa.array(named), none.cast(pa.float32()), pa.nulls(len(tokens), arrow.field("sizes").type), pa.array(tokens), pa.array(places + (length[owner] << 32))], schema=arrow)
 
     return docs.mapInArrow(run, SIGNED)
 
@@ -368,23 +368,28 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     sent = Broadcasts(spark, levels(repeats(docs, n)))
-    made = materialize(sign(docs, sent, n, percent), "jac-signed")
-    rows, listed = made.where("n is not null"), made.where("token is not null").select("token", "sid", "place")
-    classes = rows.where("sid is not null and id is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.max("common").alias("common"))
-    classes = materialize(classes, "jac-classes")
-
-    # n-grams that stand in the prefixes of several sets, and the sets with enough of them
-    shared = materialize(listed.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token"), "jac-tokens")
+    made = materialize_kinds(sign(docs, sent, n, percent), "kind", {0: ["id", "n", "sid", "common", "sizes"], 1: ["token", "sid", "place"]}, "jac-signed")
+    rows, listed = made[0], made[1]
+    # classes of equal sets; `order` goes by how common the n-grams are, then by the fingerprint
+    order = F.shiftleft((F.col("common") * 256).cast("long"), 40).bitwiseOR(F.col("sid").bitwiseAND(F.lit((1 << 40) - 1)))
+    classes = rows.where("sid is not null and id is not null").groupBy("sid").agg(F.min("id").alias("rep"), F.max("common").alias("common"), F.max("n").cast("int").alias("n"))
+    classes = materialize(classes.select("sid", "rep", "n", order.alias("order")), "jac-classes")
+
+    # n-grams listed more than once, and the sets with enough of them; what only copies of one set list does no harm
+    shared = materialize(listed.groupBy("token").count().where("count > 1").select("token"), "jac-tokens")
     met = thinned(listed, "token", shared).join(shared, "token")  # a semi join would be moved ahead of the thinning
-    sets = met.groupBy("sid").agg(F.collect_set(F.struct("token", "place")).alias("at")).withColumn("n", F.shiftright(F.col("at")[0]["place"], 32).cast("int"))
-    sets = sets.where(F.size("at") >= least_shared(F.col("n"), percent)).join(classes, "sid").select("sid", "rep", "n", "common", F.explode("at").alias("x"))
-    held = materialize(sets.select("x.token", "sid", "rep", "n", "common", F.col("x.place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")), "jac-shared")
+    sets = met.groupBy("sid").agg(F.collect_set(F.struct("token", "place")).alias("at"))
+    sets = sets.where(F.size("at") >= least_shared(F.shiftright(F.col("at")[0]["place"], 32).cast("int"), percent)).join(classes, "sid").select("sid", "rep", "n", "order", F.explode("at").alias("x"))
+    held = materialize(sets.select("x.token", "sid", "rep", "n", "order", F.col("x.place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")), "jac-shared")
     release(shared)
+    release(listed)
 
     # each class with the hub of each of its prefix n-grams: the set made of the most common n-grams
-    hubs = held.groupBy("token").agg(F.max(F.struct("common", "sid", "rep", "n")).alias("hub"))
-    pairs = held.join(hubs, "token").where(F.col("sid") != F.col("hub.sid")).select(F.col("sid").alias("a"), F.col("hub.sid").alias("b"), F.col("rep").alias("ra"), F.col("hub.rep").alias("rb"), F.col("n").alias("na"), F.col("hub.n").alias("nb"))
-    first = materialize(pairs.where(similar_sizes(percent)).distinct(), "jac-pairs")
+    hubs = held.groupBy("token").agg(F.max("order").alias("hub"))
+    near = held.select("token", "sid", "rep", "n", "order").join(hubs, "token").where("order <> hub").select("sid", "rep", "n", "hub").distinct()
+    of_hub = classes.select(F.col("order").alias("hub"), F.col("sid").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
+    pairs = near.join(of_hub, "hub").select(F.col("sid").alias("a"), "b", F.col("rep").alias("ra"), "rb", F.col("n").alias("na"), "nb")
+    first = materialize(pairs.where(similar_sizes(percent) & (F.col("a") != F.col("b"))), "jac-pairs")
     links = verified(first, docs, rows, sent, n, percent, cuts)
 
     # n-grams that still have different components: all pairs between those
@@ -392,8 +397,10 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     placed = held.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     placed = materialize(placed.select("token", "sid", "rep", "n", "pos", "component"), "jac-placed")
     split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    split = materialize(split, "jac-split")
     # ahead of an n-gram, only those others count that other components have as well
-    apart = placed.join(split, "token", "left_semi").withColumn("rank", F.row_number().over(W.partitionBy("sid").orderBy("pos")) - 1)
+    apart = thinned(placed, "token", split).join(split, "token").withColumn("rank", F.row_number().over(W.partitionBy("sid").orderBy("pos")) - 1)
+    apart = materialize(apart, "jac-apart")
     side = lambda x: apart.select("token", *[F.col(c).alias(f"{k}{x}") for c, k in (("sid", ""), ("rep", "r"), ("n", "n"), ("pos", "p"), ("rank", "k"), ("component", "c"))])
     most = F.least("ka", "kb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
     reach = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
@@ -408,7 +415,7 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
         more = verified(second, docs, rows, sent, n, percent, cuts)
         found = components(links.unionByName(more), "ra", "rb")
         release(more)
-    for x in (held, first, placed, second, links):
+    for x in (held, first, placed, split, apart, second, links):
         release(x)
     result = rows.select("id", "n", "sid").join(classes.select("sid", "rep"), "sid", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return result.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
