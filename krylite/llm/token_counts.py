@@ -10,7 +10,10 @@ Two deterministic transducers replace the tokenizer's merge loop.
   entry's trie node, the token that ends where it began and the token count there; a transition carries the change of
   the token count. That is enough because in byte-pair encoding a sequence is the encoding of its bytes exactly if all
   neighbouring tokens are, so that the last token of every prefix follows from earlier last tokens. States are
-  compiled when they are first met and kept per Python worker.
+  compiled when they are first met and kept per Python worker, up to a bound; past it, only states in use stay. A long
+  piece is cut into chunks as well: a chunk's map takes an entry state to an exit state and the tokens emitted on the
+  way. Maps start from likely entry states, which some bytes ahead of the chunk suggest, grow by the exits of the chunk
+  before until they hold the text's own way, and are composed pairwise.
 
 Counts equal those of the tokenizers library for a byte-level BPE file with the usual splitting rule.
 """
@@ -23,6 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_bpe import shown_bytes
 from .common import map_texts
 
 #: Character classes of the splitter. The letters are those of the contractions 's 't 'm 'd 're 've 'll.
@@ -34,6 +38,11 @@ START, IN_L, IN_N, IN_O, IN_S, IN_W, APOS, APOS_R, APOS_V, APOS_L, DONE = range(
 N_STATES = 11
 #: Emissions: a piece starts at this character; one starts at the character before.
 HERE, BEFORE = 1, 2
+#: The piece transducer's state before the first byte.
+START_STATE = ((0, -1, 0),)
+#: Bytes of a chunk of a long piece, bytes ahead of it that suggest its entry state, and entry states that are tried
+#: besides the one that is needed.
+CHUNK, AHEAD, MOST_ENTRIES = 2048, 64, 8
 
 
 def splitter_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -156,10 +165,30 @@ class PieceTransducer:
         self.reset()
 
     def reset(self) -> None:
-        self.ids: dict[tuple, int] = {((0, -1, 0),): 0}
-        self.states: list[tuple] = [((0, -1, 0),)]
+        self.ids: dict[tuple, int] = {}
+        self.states: list[tuple] = []
         self.next = np.full((1024, 256), -1, np.int32)
         self.add = np.zeros((1024, 256), np.int8)
+        self.number(START_STATE)
+
+    def number(self, key: tuple) -> int:
+        """The number of a state, a new one if it has none."""
+        at = self.ids.get(key)
+        if at is None:
+            at = self.ids[key] = len(self.states)
+            self.states.append(key)
+            if at >= len(self.next):
+                more = min(len(self.next), 16_384)
+                self.next = np.concatenate([self.next, np.full((more, 256), -1, np.int32)])
+                self.add = np.concatenate([self.add, np.zeros((more, 256), np.int8)])
+        return at
+
+    def renew(self, state: np.ndarray) -> np.ndarray:
+        """Forget all states but those in use; their new numbers."""
+        used, at = np.unique(state, return_inverse=True)
+        keys = [self.states[x] for x in used.tolist()]
+        self.reset()
+        return np.array([self.number(k) for k in keys], np.int64)[at]
 
     def encode(self, piece: bytes) -> list[int]:
         ids = [self.single[b] for b in piece]
@@ -193,25 +222,19 @@ class PieceTransducer:
                 grown.append((to, before, count))
         token, delta = last
         key = (*((n, b, c - delta) for n, b, c in grown), (0, token, 0))
-        to = self.ids.get(key)
-        if to is None:
-            to = self.ids[key] = len(self.states)
-            self.states.append(key)
-            if to >= len(self.next):
-                more = min(len(self.next), 32_768)
-                self.next = np.vstack([self.next, np.full((more, 256), -1, np.int32)])
-                self.add = np.vstack([self.add, np.zeros((more, 256), np.int8)])
+        to = self.number(key)
         self.next[state, byte], self.add[state, byte] = to, delta
 
-    def counts(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, most_states: int = 160_000) -> np.ndarray:
-        """Tokens of each piece data[start:start+length]; all pieces advance together, one byte a step."""
+    def run(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, entry: np.ndarray, most_states: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens emitted over each data[start:start+length] from its entry state, and the exit states; all advance
+        together, one byte a step."""
         order = np.argsort(-length, kind="stable")
         at, left = start[order], length[order]
-        total, state = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
-        if len(self.states) > most_states:  # bounded memory: compiled again as met
-            self.reset()
+        total, state = np.zeros(len(order), np.int64), entry[order].astype(np.int64)
         alive = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1 if len(left) else 1), "right")
         for k, n in enumerate(alive):
+            if len(self.states) > most_states:  # bounded memory: compiled again as met
+                state = self.renew(state)
             key = state[:n] * 256 + data[at[:n] + k]
             to = self.next.ravel().take(key)
             if (missing := to < 0).any():
@@ -220,23 +243,65 @@ class PieceTransducer:
                 to = self.next.ravel().take(key)
             total[:n] += self.add.ravel().take(key)
             state[:n] = to
-        out = np.empty_like(total)
-        out[order] = total
+        tokens, end = np.empty_like(total), np.empty_like(state)
+        tokens[order], end[order] = total, state
+        return tokens, end
+
+    def counts(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, most_states: int = 60_000) -> np.ndarray:
+        """Tokens of each piece data[start:start+length]."""
+        long = length > 2 * CHUNK
+        out = np.zeros(len(start), np.int64)
+        if len(self.states) > most_states:
+            self.reset()
+        out[~long], _ = self.run(data, start[~long], length[~long], np.zeros(int((~long).sum()), np.int64), most_states)
+        for i in np.flatnonzero(long).tolist():
+            out[i] = self.count_long(data, int(start[i]), int(length[i]), most_states)
         return out
 
+    def count_long(self, data: np.ndarray, start: int, length: int, most_states: int) -> int:
+        """Tokens of one long piece, by chunk maps {entry state: (exit state, tokens)}."""
+        cuts = start + np.arange(0, length, CHUNK)
+        sizes = np.minimum(CHUNK, start + length - cuts)
+        maps: list[dict[tuple, tuple[tuple, int]]] = [{} for _ in cuts]
+
+        def walked(chunks: list[int], entries: list[tuple], ahead: int = 0) -> list[tuple[tuple, int]]:
+            if len(self.states) > most_states:
+                self.reset()
+            at = np.array(chunks)
+            begin, size = (cuts[at] - ahead, np.full(len(at), ahead)) if ahead else (cuts[at], sizes[at])
+            tokens, end = self.run(data, begin, size, np.array([self.number(k) for k in entries]), most_states)
+            return [(self.states[e], n) for e, n in zip(end.tolist(), tokens.tolist(), strict=True)]
+
+        rest = list(range(1, len(cuts)))
+        likely = walked(rest, [START_STATE] * len(rest), AHEAD)
+        wanted = {(0, START_STATE)} | {(i, state) for i, (state, _) in zip(rest, likely, strict=True)}
+        while True:
+            todo = sorted(wanted, key=lambda x: x[0])
+            for (i, entry), got in zip(todo, walked([i for i, _ in todo], [s for _, s in todo]), strict=True):
+                maps[i][entry] = got
+            state, i = START_STATE, 0  # the text's own way, as far as the maps know it
+            while i < len(maps) and state in maps[i]:
+                state, i = maps[i][state][0], i + 1
+            if i == len(maps):
+                break
+            wanted = {(i, state)} | {(j + 1, x) for j, f in enumerate(maps[:-1]) for x, _ in f.values() if x not in maps[j + 1] and len(maps[j + 1]) < MOST_ENTRIES}
+        while len(maps) > 1:
+            maps = [composed(*maps[j : j + 2]) for j in range(0, len(maps), 2)]
+        return maps[0][START_STATE][1]
+
 
-def byte_table() -> dict[str, int]:
-    """The printable character that stands for each byte in a byte-level BPE file, reversed."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+def composed(first: dict, then: dict | None = None) -> dict:
+    """The map of two neighbouring chunks: exits of the first enter the second, token counts add up."""
+    if then is None:
+        return first
+    return {s: (then[x][0], n + then[x][1]) for s, (x, n) in first.items() if x in then}
 
 
 class CompiledTokenizer:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        back = byte_table()
+        back = {c: b for b, c in enumerate(shown_bytes())}
         special = {x["content"] for x in spec["added_tokens"]}
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
         raw = {bytes(back[c] for c in t): i for t, i in vocab.items()}
@@ -294,6 +359,7 @@ def token_counts(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
     from public_tokenizers import path
 
     from .common import table
