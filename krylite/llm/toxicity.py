@@ -4,7 +4,9 @@ Features of a text are its words and word beginnings, by presence. A logistic mo
 bounded sample of labelled rows: first with an L1 penalty in proportion to each feature's chance level, which selects
 features, then again on those with a small L2 penalty, which gives weights. Both fits carry a second penalty: identity
 terms of the labelled texts are swapped for others of their group and the squared change of the score is charged, so
-that a neutral mention of a group can't become evidence. Scoring reads whole texts on the executors.
+that a neutral mention of a group can't become evidence. Besides the given groups there are groups from the sample
+itself: frequent words that both labels have alike, put together if they stand in the same texts. Scoring reads whole
+texts on the executors.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, map_texts
+from .common import map_rows, map_texts, materialize, release
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Terms that may stand in for one another in a sentence, by group; each is swapped for the next of its group.
@@ -46,6 +48,9 @@ class Settings:
     ridge: float = 2e-4
     counterfactual: float = 1.0
     identity_groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS
+    #: Words that make up groups from the sample, and words of such a group.
+    derived_terms: int = 24
+    derived_group: int = 4
 
 
 @dataclass
@@ -88,28 +93,71 @@ def text_features(words: set[str], seen: dict[str, list[int]]) -> list[int]:
     return list({f for w in words for f in seen[w]})
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, key: str = "doc_id", text: str = "text"):
-    """Labels, features and features after swapping (null without identity terms) of the bounded sample, on the driver."""
+def sample_rows(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, key: str, text: str) -> DataFrame:
+    """key, __y and text of the bounded sample, written once."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("__y"))
     known = known.where(F.crc32(F.col(key).cast("string").cast("binary")) % 5 != 0)
     chosen = known.orderBy(F.xxhash64(key), key).limit(settings.max_rows)
-    rows = docs.select(key, text).join(F.broadcast(chosen), key)  # at most max_rows rows of two numbers
-    change = swaps(settings.identity_groups)
+    return materialize(docs.select(key, text).join(F.broadcast(chosen), key), "tox-sample")  # at most max_rows rows of two numbers
+
+
+def derived_groups(rows: DataFrame, settings: Settings, key: str, text: str) -> tuple[tuple[str, ...], ...]:
+    """Swap groups from the sample: words of 2 to 30 % of its texts whose share of label 1 is within chance, the most
+    frequent ones, each put to those that it shares most texts with beyond chance."""
+    if settings.derived_terms < 2:
+        return ()
+    said = map_texts(rows, [key, "__y"], text, "words array<string>", lambda texts: [[sorted(set(WORD.findall(t.lower()))) for t in texts]])
+    n, bad = rows.agg(F.count("*"), F.sum("__y")).first()
+    if not n or not bad or bad == n:
+        return ()
+    share = bad / n
+    spread = F.sqrt(F.col("n") * share * (1 - share))
+    counts = said.select("__y", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.sum("__y").alias("bad"))
+    even = counts.where((F.col("n") >= 0.02 * n) & (F.col("n") <= 0.3 * n) & (F.length("word") > 2) & (F.abs(F.col("bad") - share * F.col("n")) <= spread))
+    given = {w for g in settings.identity_groups for w in g}
+    terms = sorted(r["word"] for r in even.orderBy(F.col("n").desc(), "word").limit(settings.derived_terms).collect() if r["word"] not in given)
+    if len(terms) < 2:
+        return ()
+    found = said.select(*[F.array_contains("words", t).cast("double").alias(f"t{i}") for i, t in enumerate(terms)])
+    both = found.agg(*[F.sum(F.col(f"t{i}") * F.col(f"t{j}")).alias(f"s{i}_{j}") for i in range(len(terms)) for j in range(i + 1)]).first()
+    c = np.array([[both[f"s{max(i, j)}_{min(i, j)}"] for j in range(len(terms))] for i in range(len(terms))])
+    alike = c / np.sqrt(np.outer(c.diagonal(), c.diagonal()))
+    left, groups = list(range(len(terms))), []
+    while len(left) > 1:
+        near = sorted(left[1:], key=lambda j: (-alike[left[0], j], j))[: settings.derived_group - 1]
+        groups.append(tuple(terms[j] for j in (left[0], *near)))
+        left = [j for j in left if j not in (left[0], *near)]
+    return tuple(groups)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, key: str = "doc_id", text: str = "text"):
+    """Labels, features, and the features that come and go under swaps (null without identity terms) of the bounded
+    sample, on the driver."""
+    rows = sample_rows(docs, labels, label, settings, key, text)
+    change = swaps(settings.identity_groups + derived_groups(rows, settings, key, text))
 
     def work(texts: list[str]) -> list[list]:
         seen: dict[str, list[int]] = {}
-        plain, swapped = [], []
+        plain, come, go = [], [], []
         for t in texts:
             words = set(WORD.findall(t.lower()))
-            plain.append(text_features(words, seen))
-            swapped.append(text_features({change.get(w, w) for w in words}, seen) if words & change.keys() else None)
-        return [plain, swapped]
-
-    got = map_texts(rows, [key, "__y"], text, "f array<long>, g array<long>", work).toArrow()
+            own = text_features(words, seen)
+            plain.append(own)
+            if words & change.keys():
+                new = text_features({change.get(w, w) for w in words}, seen)
+                come.append(list(set(new).difference(own)))
+                go.append(list(set(own).difference(new)))
+            else:
+                come.append(None)
+                go.append(None)
+        return [plain, come, go]
+
+    got = map_texts(rows, [key, "__y"], text, "f array<long>, come array<long>, go array<long>", work).toArrow()
+    release(rows)
     size = got["f"].combine_chunks().value_lengths().to_numpy()
     order = np.lexsort((size, got["__y"].to_numpy(), np.asarray(got[key].cast("string").to_pylist(), str)))
     got = got.take(order)
-    return got["__y"].to_numpy().astype(float), lists(got["f"]), lists(got["g"])
+    return got["__y"].to_numpy().astype(float), lists(got["f"]), lists(got["come"]), lists(got["go"])
 
 
 class Lists:
@@ -195,7 +243,7 @@ def descend(x: Rows, d: tuple[Rows, Rows] | None, y: np.ndarray, l1: np.ndarray,
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> Model:
     """A model from labelled rows whose crc32(id as text) mod 5 is not 0; without labels of both kinds, a constant one."""
-    y, f, g = training_rows(docs, labels, label, settings, key, text)
+    y, f, come, go = training_rows(docs, labels, label, settings, key, text)
     n = len(y)
     if n == 0:
         return Model()
@@ -218,11 +266,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     held = np.flatnonzero((count >= settings.min_rows_of_feature) & (count < n) & (grad >= 0.6 * settings.penalty * chance))
     if not len(held):
         return Model(float(np.log(p / (1 - p))))
-    swapped = np.flatnonzero(~g.null)
-    before, after = f.take(swapped), g.take(swapped)
+    swapped = np.flatnonzero(~come.null)
+    come, go = come.take(swapped), go.take(swapped)
 
     def matrices(names: np.ndarray):
-        return Rows(f, names), (Rows(before, names), Rows(after, names)) if len(swapped) else None
+        return Rows(f, names), (Rows(come, names), Rows(go, names)) if len(swapped) else None
 
     x, d = matrices(names[held])
     w, _ = descend(x, d, y, settings.penalty * chance[held], 0.0, settings.counterfactual, 150)
@@ -271,6 +319,7 @@ def held_out(key: str = "doc_id"):
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document, by a model that never saw the held-out labels."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents")
