@@ -33,20 +33,27 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 LIKELY = re.compile(r"(?<![a-z])(?:article|body|content|entry|main|post|story|text|blog|page)(?![a-z])", re.I)
 ROOTS = frozenset(("html", "body", "main", "article"))
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?|</[^>]*>", re.S)
+#: What page-wide containers say, for single paragraphs, links and spans: fewer words, since those may name a topic.
+JUNK_LINE = re.compile(r"(?<![a-z])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?s?|comments?|cookies?|consent|gdpr|notice|alert|newsletter|subscri(?:be|ption)|share|sharing|social|copyright|disclaimer|hidden|sr-only)(?![a-z])", re.I)
+HEADER = re.compile(r"(?<![a-z])(?:header|masthead)(?![a-z])", re.I)
+
+OPEN = re.compile(r"<(?:!--|(/?)([a-zA-Z][^\s/>]*+)|[!?/])")
+COMMENT_END = re.compile(r"--!?>")
+PLAIN = re.compile(r"[^>\"']*+")
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 SPACES = re.compile(r"\s+")
-ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "junk", "score", "likely", "depth", "article")
+    __slots__ = ("tag", "parent", "kids", "junk", "score", "likely", "depth", "article", "header")
 
     def __init__(self, tag: str, parent: Node | None, junk: bool, likely: bool = False, article: bool = False):
         self.tag, self.parent, self.junk, self.likely = tag, parent, junk, likely
         self.article = article or tag == "article"
         self.kids: list[Node | str] = []
         self.score = 0.0
+        self.header = tag == "header"
         self.depth = 0 if parent is None else parent.depth + 1
 
 
@@ -59,29 +66,67 @@ def is_junk(tag: str, raw: str) -> tuple[bool, bool, bool]:
     a = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in ATTRIBUTE.findall(raw)}
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
         return tag not in ROOTS, False, False
-    names = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", f"{a.get('class', '')} {a.get('id', '')}").replace("_", "-")
-    if JUNK.search(names) and tag not in ROOTS and tag not in ("p", "a", "span", "b", "i", "em", "strong", "h1"):
+    names = names_of(a)
+    if tag not in ROOTS and tag not in ("b", "i", "em", "strong", "h1") and (JUNK_LINE if tag in ("p", "a", "span") else JUNK).search(names):
         return True, False, False
     body = "articleBody" in a.get("itemprop", "").split()
     return False, body or bool(LIKELY.search(names)), body
 
 
+def names_of(a: dict[str, str]) -> str:
+    """Class and id, in words set apart by dashes or spaces."""
+    return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", f"{a.get('class', '')} {a.get('id', '')}").replace("_", "-")
+
+
+class Tags:
+    """Where tags end. Quoted values may hold the closing bracket; a page on which that leads nowhere is read without
+    regard to quotes from there on, so that every character is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.missing = page, True, set()
+
+    def end(self, pos: int) -> int:
+        """The place of the bracket that closes the tag whose name ends at pos; -1 if there is none."""
+        page = self.page
+        i = pos
+        while self.quotes:
+            i = PLAIN.match(page, i).end()
+            if i >= len(page):
+                self.quotes = False
+                break
+            c = page[i]
+            if c == ">":
+                return i
+            k = i - 1
+            while k >= pos and page[k].isspace():
+                k -= 1
+            j = page.find(c, i + 1) if k >= pos and page[k] == "=" and c not in self.missing else -1
+            if j < 0 and k >= pos and page[k] == "=":
+                self.missing.add(c)
+            i = max(i, j) + 1
+        return page.find(">", pos)
+
+
 def parse(page: str) -> Node:
     """A tolerant tree: unclosed elements end with their container, stray end tags are ignored."""
     root = at = Node("#root", None, False)
-    pos, n = 0, len(page)
+    pos, n, tags, closed = 0, len(page), Tags(page), page.rfind(">")
     stack = {"#root": 1}
     while pos < n:
-        m = TOKEN.search(page, pos)
-        if m is None:
+        m = OPEN.search(page, pos)
+        if m is None or m.start() > closed and m[0] != "<!--":  # no tag ends any more
             at.kids.append(page[pos:])
             break
         if m.start() > pos:
             at.kids.append(page[pos : m.start()])
-        pos = m.end()
         name = m[2]
         if name is None:
+            end = COMMENT_END.search(page, m.end()) if m[0] == "<!--" else None
+            pos = end.end() if end else n if m[0] == "<!--" else page.find(">", m.end()) + 1 or n
             continue
+        pos = tags.end(m.end())
+        raw = page[m.end() : pos]
+        pos += 1
         tag = name.lower()
         if m[1]:
             if tag in ("p", "br") and not stack.get(tag):
@@ -116,12 +161,13 @@ def parse(page: str) -> Node:
                 done, at = at is last, at.parent
                 if done:
                     break
-        node = Node(tag, at, *is_junk(tag, m[3]))
+        node = Node(tag, at, *is_junk(tag, raw))
+        node.header = node.header or node.junk and bool(HEADER.search(raw))
         at.kids.append(node)
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
+        if tag in VOID or raw.endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         if tag in RAW:
-            end = ENDS[tag].search(page, pos)
+            end = ENDS[tag].search(page, pos, closed + 1)
             pos = end.end() if end else n
             continue
         at = node
@@ -155,8 +201,21 @@ def walk(root: Node):
         todo += [k for k in reversed(x.kids) if not isinstance(k, str) and not k.junk]
 
 
+def titles(header: Node) -> list[Node]:
+    """The h1 elements of a header, outside of other junk."""
+    out, todo = [], [header]
+    while todo:
+        x = todo.pop()
+        if x.tag == "h1":
+            out.append(x)
+        else:
+            todo += [k for k in reversed(x.kids) if isinstance(k, Node) and (not k.junk or k.header)]
+    return out
+
+
 def render(node: Node, out: list[str]) -> None:
-    """Blocks of text under a node in page order; references are decoded after the markup is gone."""
+    """Blocks of text under a node in page order; references are decoded after the markup is gone. Of the headers inside
+    an article, the title stays."""
     line: list[str] = []
 
     def flush() -> None:
@@ -178,6 +237,8 @@ def render(node: Node, out: list[str]) -> None:
                 flush()
                 todo.append(None)
             todo += reversed(x.kids)
+        elif x.header and node.article:
+            todo += reversed(titles(x))
     flush()
 
 
@@ -253,11 +314,7 @@ def main_text(page: str) -> str:
         text, linked = own_text(x)
         if not text:
             continue
-        up = x
-        while up is not None:
-            text_len[id(up)] = text_len.get(id(up), 0) + len(text)
-            link_len[id(up)] = link_len.get(id(up), 0) + linked
-            up = up.parent
+        text_len[id(x)], link_len[id(x)] = len(text), linked
         points = ((base or 0.5) + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)) * (1 - min(1.0, linked / len(text)))
         holder = x.parent if x.parent is not None and x.tag not in ("div", "section", "article", "main", "body") else x
         share = 1.0
@@ -267,6 +324,10 @@ def main_text(page: str) -> str:
             level += 1
             share = 1.0 / (2.0 if level == 1 else 3.0 * (level - 1))
             holder = holder.parent
+    for x in reversed(nodes):  # children come before their parents
+        if x.parent is not None:
+            text_len[id(x.parent)] = text_len.get(id(x.parent), 0) + text_len.get(id(x), 0)
+            link_len[id(x.parent)] = link_len.get(id(x.parent), 0) + link_len.get(id(x), 0)
     best, most = None, 0.0
     density = lambda x: min(1.0, link_len.get(id(x), 0) / max(1, text_len.get(id(x), 0)))
     for x in nodes:
@@ -286,8 +347,8 @@ def main_text(page: str) -> str:
 def extract(df: DataFrame, keys: list[str], html_col: str = "html") -> DataFrame:
     """keys, text and n_chars (code points) of each page.
 
-    A null or empty page gives an empty text; whole pages are read; equal pages give equal texts; an empty table gives
-    no rows; columns other than the keys and the page are ignored.
+    A null or empty page gives an empty text; whole pages are read, in time that grows with their length; equal pages give
+    equal texts; an empty table gives no rows; columns other than the keys and the page are ignored.
     """
 
     def work(pages: list[str]) -> list[list]:
@@ -298,6 +359,7 @@ def extract(df: DataFrame, keys: list[str], html_col: str = "html") -> DataFrame
 
 
 def op10_html_text(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     from .common import table
 
     return extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
