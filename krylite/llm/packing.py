@@ -5,8 +5,8 @@ document goes to the fullest bin that has room and shares neither with it: the s
 free space and walks to its successors until a compatible bin is found; without one, a bin is opened. Documents longer
 than a bin are cut into whole-bin pieces, which fill bins of their own, and a rest, which is packed.
 
-Documents are dealt at random into packing groups of bounded size, so a hot source or a large cluster is spread evenly,
-no group grows with the data, and only ids and lengths move.
+Documents are dealt at random into packing groups of bounded size, so a hot source, a large cluster or a row that repeats
+very often is spread evenly, no group grows with the data, and only ids and lengths move.
 """
 
 from __future__ import annotations
@@ -74,7 +74,9 @@ def pack(df: DataFrame, capacity: int, key: str = "doc_id", length: str = "lengt
     rows = df.select(F.col(key).alias("__key"), F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(0)), F.lit(0)).alias("__len"), F.col(source).cast("string").alias("__source"), F.xxhash64(F.col(cluster).cast("string")).alias("__hash"), F.col(cluster).isNull().alias("__alone"))
     n = df.count()
     groups = max(1, -(-n // group_rows))
-    dealt = rows.withColumn("__group", F.pmod(F.xxhash64(F.col("__key").cast("string"), "__len", "__source", "__hash"), F.lit(groups)))
+    # rows alike are told apart by a number, so that they don't all fall into one group
+    told = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n")).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__n")
+    dealt = told.withColumn("__group", F.pmod(F.xxhash64(F.col("__key").cast("string"), "__len", "__source", "__hash", "__copy"), F.lit(groups))).drop("__copy")
     kind = rows.schema["__key"].dataType.simpleString()
     schema = f"key {kind}, piece int, start long, length long, bin_id long, bin_fill long"
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -119,6 +121,7 @@ def pack(df: DataFrame, capacity: int, key: str = "doc_id", length: str = "lengt
 
 
 def op4_packing(spark, sf_dir: str) -> DataFrame:
+    """The bin of every document, or of every piece of one that is longer than a bin."""
     from .common import table
 
     return pack_documents(table(spark, sf_dir, "documents"))
