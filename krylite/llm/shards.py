@@ -3,7 +3,9 @@
 Arrivals are appended as small immutable shards. A run is a set of shards written together; runs of similar size share
 a tier. When a tier holds enough runs, compaction merges them, without a shuffle, into files of the target size and
 commits a new manifest. A manifest is a JSON file named by its version, written under a temporary name and then renamed;
-the rename fails if another writer has already committed that version, so a reader sees whole versions only.
+the rename fails if another writer has already committed that version, so a reader sees whole versions only. That needs a
+file system whose rename is atomic and refuses an existing target, as HDFS and local ones do; on an object store without
+such a rename, let one writer commit at a time.
 """
 
 from __future__ import annotations
@@ -73,7 +75,9 @@ class ShardStore:
     def append(self, df: DataFrame, arrival: str | None = None) -> int:
         """Write arrivals as small shards: one run, or with a column `arrival` one run for each of its values.
 
-        A null arrival is a run of its own. Appending no rows commits a version without new runs. Returns the version.
+        A null arrival is a run of its own. Appending no rows commits a version without new runs. Rows may repeat and hold
+        nulls anywhere; the values of `arrival` go into folder names, and the column itself isn't stored. Returns the
+        version.
         """
         at = self.version()
         known = self.manifest(at)["runs"]
@@ -86,7 +90,16 @@ class ShardStore:
             inner = [f.getPath().getName() for f in self.fs.listStatus(self._path(folder)) if f.isDirectory()]
             groups = {name: self._files(f"{folder}/{name}") for name in sorted(inner)}
         runs = [{"run": f"{folder}/{name}".rstrip("/"), "files": files, "bytes": sum(f["bytes"] for f in files), "born": at + 1} for name, files in groups.items() if files]
-        return self._commit(known + runs, at)
+        return self._commit_or_clear(known + runs, at, [folder])
+
+    def _commit_or_clear(self, runs: list[dict], after: int, folders: list[str]) -> int:
+        """Commit; what was written for a version that another writer committed first is deleted."""
+        try:
+            return self._commit(runs, after)
+        except Conflict:
+            for f in folders:
+                self.fs.delete(self._path(f), True)
+            raise
 
     def plan(self, runs: list[dict]) -> list[list[dict]]:
         """Groups of similarly sized runs to merge: every tier that holds at least `fanout` runs."""
@@ -112,25 +125,39 @@ class ShardStore:
             files = self._files(folder)
             merged.append({"run": folder, "files": files, "bytes": sum(f["bytes"] for f in files), "born": at + 1})
         gone = {r["run"] for g in groups for r in g}
-        return self._commit([r for r in runs if r["run"] not in gone] + merged, at)
+        return self._commit_or_clear([r for r in runs if r["run"] not in gone] + merged, at, [r["run"] for r in merged])
 
-    def vacuum(self) -> int:
-        """Delete runs that the newest manifest doesn't name (older versions can't be read afterwards); returns how many."""
+    def vacuum(self, unnamed_after: float = 86_400.0) -> int:
+        """Delete runs that only older manifests name (those can't be read afterwards), and folders of so many seconds of
+        age that no manifest names, left by writers that broke off. Returns how many went."""
         named = {r["run"] for r in self.manifest()["runs"]}
         old = {r["run"] for v in range(1, self.version()) for r in (self.manifest(v)["runs"] if self.fs.exists(self._path(f"manifests/v{v:08d}.json")) else [])} - named
-        for run in old:
+        in_use = {"/".join(r.split("/")[:2]) for r in named | old}
+        lost = set()
+        if self.fs.exists(self._path("data")):
+            now = self.jvm.System.currentTimeMillis()
+            lost = {f"data/{f.getPath().getName()}" for f in self.fs.listStatus(self._path("data")) if now - f.getModificationTime() > 1000 * unnamed_after} - in_use
+        for run in old | lost:
             self.fs.delete(self._path(run), True)
-        return len(old)
+        return len(old) + len(lost)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The table as of a version; with columns _shard (file), the run's tier, and _version."""
+        """The table as of a version, with columns _shard (its file) and _version. Own columns of these names stay; the
+        store's get another underscore in front, as many as it takes."""
         found = self.manifest(version)
         files = [f["file"] for r in found["runs"] for f in r["files"]]
         if not files:
             raise ValueError("the store is empty")
         rows = self.spark.read.parquet(*[f"{self.root}/{f}" for f in files])
+        shard, number = (free_name(rows.columns, n) for n in ("_shard", "_version"))
         name = F.regexp_extract(F.input_file_name(), r"(data/[^?#]*)$", 1)
-        return rows.withColumn("_shard", name).withColumn("_version", F.lit(found["version"]))
+        return rows.withColumn(shard, name).withColumn(number, F.lit(found["version"]))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
 
 
 def op8_shards(spark, sf_dir: str) -> DataFrame:
@@ -145,10 +172,12 @@ def op8_shards(spark, sf_dir: str) -> DataFrame:
     # four large, six middling and six small batches, so that several tiers fill
     spread = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(64))
     batch = F.when(spread < 32, spread % 4).when(spread < 56, 4 + spread % 6).otherwise(10 + spread % 6)
-    store.append(docs.withColumn("arrival", batch.cast("int")), "arrival")
+    arrival = free_name(docs.columns, "arrival")
+    store.append(docs.withColumn(arrival, batch.cast("int")), arrival)
     while store.compact() is not None:
         store.vacuum()
     sizes = [(f["file"], f["bytes"], store.tier(r["bytes"])) for r in store.manifest()["runs"] for f in r["files"]]
     shards = spark.createDataFrame(sizes, "_shard string, shard_bytes long, tier int")
-    rows = store.read().select("doc_id", "_shard", F.col("_version").alias("version"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    rows = store.read().select("doc_id", "text", *[F.col(free_name(docs.columns, n)).alias(n) for n in ("_shard", "_version")])
+    rows = rows.select("doc_id", "_shard", F.col("_version").alias("version"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
     return rows.join(F.broadcast(shards), "_shard").select("doc_id", F.col("_shard").alias("shard_id"), "shard_bytes", "tier", "version", "n_bytes", "text_sha256")
