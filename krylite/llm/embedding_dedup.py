@@ -2,7 +2,8 @@
 
 Equal vectors of a label are counted once, as a class. Coarse centroids and residual codebooks are fitted on a bounded
 sample; every class goes to the list of its nearest centroid and stores a code of its residual, one byte a subspace.
-A class asks several of the nearest lists. There, asymmetric distances, sums of table look-ups by code, pick the
+Past Settings.most_lists lists there is a second level: centroids of the residuals split every list, so that lists keep their
+size while there are up to a thousand times as many. A class asks several of the nearest lists. There, asymmetric distances, sums of table look-ups by code, pick the
 candidates with a margin for the quantisation error, and exact cosines in double precision decide. Lists are cut into
 blocks, so that a hot list is worked on by many tasks in bounded memory, and only counts and a spanning set of links
 leave a block, never all pairs.
@@ -30,7 +31,10 @@ class Settings:
     sample: int = 20_000
     list_rows: int = 512
     most_lists: int = 1024
+    #: Centroids of the second level at most, and how many of them are asked under each centroid of the first.
+    most_fine: int = 1024
     probes: int = 8
+    fine_probes: int = 4
     subspaces: int = 8
     codewords: int = 64
     #: Rows of a block: memory of a task is bounded by two blocks.
@@ -61,31 +65,52 @@ def nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
 
 
 class Quantiser:
-    """Coarse centroids and residual codebooks for unit vectors of one width."""
+    """Coarse centroids (of one level or two) and residual codebooks for unit vectors of one width."""
 
     def __init__(self, x: np.ndarray, rows: int, s: Settings):
         self.s = s
         lists = int(np.clip(rows // s.list_rows, 1, s.most_lists))
         self.centres = kmeans(x, min(lists, len(x)))
-        res = x - self.centres[nearest(x, self.centres, 1)[:, 0]]
+        near = nearest(x, self.centres, 1)[:, 0]
+        fine = int(np.clip(rows // (s.list_rows * s.most_lists), 1, s.most_fine))
+        self.fine = kmeans(x - self.centres[near], min(fine, len(x))) if fine > 1 else np.zeros((1, x.shape[1]))
+        res = x - self.centre(self.probes(x)[:, 0])
         self.cuts = [(i * x.shape[1] // s.subspaces, (i + 1) * x.shape[1] // s.subspaces) for i in range(s.subspaces)]
         self.cuts = [(a, b) for a, b in self.cuts if b > a]
         self.books = [kmeans(res[:, a:b], min(s.codewords, len(x))) for a, b in self.cuts]
 
+    def centre(self, lists: np.ndarray) -> np.ndarray:
+        return self.centres[lists // len(self.fine)] + self.fine[lists % len(self.fine)]
+
+    def probes(self, x: np.ndarray) -> np.ndarray:
+        """Numbers of the lists that each row asks, its own first."""
+        coarse = nearest(x, self.centres, min(self.s.probes, len(self.centres)))
+        k = len(self.fine)
+        if k == 1:
+            return coarse
+        found, far = [], []
+        for j in range(coarse.shape[1]):
+            res = x - self.centres[coarse[:, j]]
+            fine = nearest(res, self.fine, min(self.s.fine_probes, k))
+            found.append(coarse[:, j, None] * k + fine)
+            far.append(((res[:, None] - self.fine[fine]) ** 2).sum(2))
+        found, far = np.concatenate(found, 1), np.concatenate(far, 1)
+        return np.take_along_axis(found, np.argsort(far, 1, kind="stable"), 1)
+
     def codes(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        res = x - self.centres[lists]
+        res = x - self.centre(lists)
         return np.stack([nearest(res[:, a:b], book, 1)[:, 0] for (a, b), book in zip(self.cuts, self.books, strict=True)], 1).astype(np.uint8)
 
     def error(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Length of what the code of each row leaves out."""
-        res = x - self.centres[lists]
+        res = x - self.centre(lists)
         for j, ((a, b), book) in enumerate(zip(self.cuts, self.books, strict=True)):
             res[:, a:b] -= book[codes[:, j]]
         return np.sqrt((res * res).sum(1))
 
     def look_up(self, q: np.ndarray, number: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric squared distances of queries to the coded members of one list."""
-        res = q - self.centres[number]
+        res = q - self.centre(np.array([number]))
         total = np.zeros((len(q), len(codes)))
         for j, ((a, b), book) in enumerate(zip(self.cuts, self.books, strict=True)):
             part = res[:, a:b]
@@ -151,7 +176,7 @@ def link_classes(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]
             for w in np.unique(widths):
                 part = t.filter(pa.array(widths == w))
                 q, x = books[int(w)], unit(part["v"])
-                probes = nearest(x, q.centres, min(s.probes, len(q.centres)))
+                probes = q.probes(x)
                 codes = q.codes(x, probes[:, 0])
                 cols = [part[c].combine_chunks() for c in ("label", "width", "rep", "n", "v")]
                 cols += [pa.array(probes[:, 0], pa.int32()), pa.array(probes.tolist(), arrow.field("probes").type), pa.array([c.tobytes() for c in codes], pa.binary())]
@@ -182,9 +207,7 @@ def link_classes(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]
         if len(mi) and len(qi):
             codes = np.frombuffer(b"".join(t["code"].filter(pa.array(~asks)).to_pylist()), np.uint8).reshape(len(mi), -1)
             reach = quant.error(x[mi], homes[mi], codes)
-            probes_of = np.zeros((len(mi), len(quant.centres)), bool)
-            for i, p in enumerate(t["probes"].filter(pa.array(~asks)).to_pylist()):
-                probes_of[i, p] = True
+            probes_of = np.array(t["probes"].filter(pa.array(~asks)).to_pylist(), np.int32)
             wide = np.sqrt(2 - 2 * s.threshold) + 1e-9
             got = np.zeros(len(t), np.int64)
             root = np.arange(len(t))  # a block's own components, so that a spanning set of links leaves it
@@ -200,7 +223,7 @@ def link_classes(classes: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]
                 hit = exact >= s.threshold
                 r, c = r[hit], c[hit]
                 np.add.at(got, own[r], n[mi[c]])
-                alone = ~probes_of[c, homes[own[r]]]  # the partner doesn't ask this one's list: credit it here
+                alone = (probes_of[c] != homes[own[r], None]).all(1)  # the partner doesn't ask this one's list: credit it here
                 np.add.at(got, mi[c[alone]], n[own[r[alone]]])
                 hook(root, own[r], mi[c])
             flat = flatten(root)
@@ -242,6 +265,7 @@ def flatten(root: np.ndarray) -> np.ndarray:
 
 
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:
+    """Links and component of every embedding: equal labels, cosine 0.93 or more."""
     from .common import table
 
     return near_duplicates(table(spark, sf_dir, "embeddings"))
