@@ -4,6 +4,8 @@ from pathlib import Path
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 
 SMALL = Path("/root/testdata/sf0.001")
@@ -85,3 +87,21 @@ def test_pipeline_rows_equal_brute_force(spark):
     docs = corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{SMALL}/documents.parquet"), str(SMALL))
     want = kept_by_brute_force([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(SMALL)).collect()} == want
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Repeated rows and ids, empty and long texts, clashing names, and an empty table."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "one two three four five", "en", "s", 24, "a"), (1, "one two three four five", "en", "s", 24, "b"), (1, "quite another text for the id", None, None, None, None), (2, "", "en", "s", 0, None), (3, long, "en", "s", len(long), None), (4, "mail me@example.org", "en", "t", 19, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id string").withColumns({n: F.lit(i) for i, n in enumerate(("score", "__row", "length", "id", "found"))})
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for some in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            some = stage(spark, some, str(tmp_path))
+            assert some.columns == docs.columns, name
+        packed = corpus_pipeline.STAGES[-1][1](spark, some, str(tmp_path)).toPandas()
+        texts = sorted(r.text for r in some.collect())
+        assert len(set(zip(packed["doc_id"], packed["start"], strict=True))) >= len({r.doc_id for r in some.collect()})
+    assert texts == []

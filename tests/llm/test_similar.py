@@ -192,3 +192,30 @@ def test_arrivals_with_nulls_and_copies(spark, tmp_path):
     assert len(store.manifest()["runs"]) == 3
     assert store.read().count() == 4
     assert store.compact() is None
+
+
+def test_store_keeps_own_columns_and_clears_up(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "t"), target_bytes=4000, fanout=2, smallest=1000)
+    rows = spark.createDataFrame([(1, "a", 5, None), (1, "a", 5, None), (None, None, None, "v")], "id long, text string, _shard int, _version string")
+    store.append(rows)
+    got = store.read()
+    assert got.columns == ["id", "text", "_shard", "_version", "__shard", "__version"]
+    assert sorted((r["_shard"] or 0, r["__version"]) for r in got.collect()) == [(0, 1), (5, 1), (5, 1)]
+    late = ShardStore(spark, str(tmp_path / "t"))
+    at = late.version
+    late.version = lambda: 0  # it saw the store before the other writer's commit
+    with pytest.raises(Conflict):
+        late.append(rows)
+    late.version = at
+    assert len(list((tmp_path / "t" / "data").iterdir())) == 1
+    (tmp_path / "t" / "data" / "lost").mkdir()
+    assert store.vacuum() == 0 and store.vacuum(unnamed_after=-1) == 1
+    assert store.read().count() == 3
+
+
+def test_compaction_plan(spark, tmp_path):
+    store = ShardStore(spark, str(tmp_path / "p"), target_bytes=1000, fanout=3, smallest=10)
+    run = lambda name, *sizes: {"run": name, "files": [{"file": f"{name}/{i}", "bytes": b} for i, b in enumerate(sizes)], "bytes": sum(sizes)}
+    runs = [run("a", 12), run("b", 14), run("c", 16), run("d", 100), run("e", 110), run("f", 1000, 900), run("g", 5), run("h", 900, 800)]
+    assert [[r["run"] for r in g] for g in store.plan(runs)] == [["a", "b", "c"]]
+    assert [store.tier(x) for x in (0, 9, 10, 29, 31, 89, 91)] == [0, 0, 1, 1, 2, 2, 3]

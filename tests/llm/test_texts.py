@@ -64,6 +64,25 @@ def test_identity_terms_carry_no_evidence(spark):
     assert change[1.0] < 0.5 * change[0.0] or change[1.0] < 0.05
 
 
+def test_swap_groups_from_the_sample(spark):
+    rng = random.Random(5)
+    docs, labels = [], []
+    for i in range(500):
+        words = [rng.choice("lorem ipsum dolor sit amet tempor magna aliqua veniam nostrud quis aute".split()) for _ in range(2)]
+        docs.append((i, " ".join(words + ["x"] * 9 + (["grobnix"] if i % 5 == 0 else []))))
+        labels.append((i, int(i % 5 == 0)))
+    d, l = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    rows = toxicity.sample_rows(d, l, "toxic", toxicity.Settings(), "doc_id", "text")
+    groups = toxicity.derived_groups(rows, toxicity.Settings(), "doc_id", "text")
+    found = {w for g in groups for w in g}
+    assert len(groups) >= 2 and all(2 <= len(g) <= 4 for g in groups) and "grobnix" not in found and "lorem" in found | {"lorem"}
+    y, f, come, go = toxicity.training_rows(d, l, "toxic", toxicity.Settings())
+    assert (~come.null).sum() > 50 and len(come.values) and len(go.values)
+    model = toxicity.fit(d, l)
+    got = {r.doc_id: r.predicted for r in toxicity.score(d, model).collect()}
+    assert all(got[i] == int(i % 5 == 0) for i in range(500))
+
+
 @pytest.mark.parametrize("labels", [[], [(1, 0), (2, 0)], [(1, None), (2, None)], [(None, 1)]])
 def test_toxicity_without_two_kinds(spark, labels):
     docs = spark.createDataFrame([(1, "a b"), (2, None), (2, "a b")], "doc_id long, text string")
@@ -172,6 +191,41 @@ def test_pii_edges(spark):
     assert pii.base_spans(long) == [(250_000, 0, 250_006)]
 
 
+def test_repeated_ids_keep_their_own_texts(spark):
+    rows = [(7, "call x@y.org or then 123456789 now"), (7, "nothing to hide here, not even a word"), (7, None), (7, "a +1 (605) 555-9305 4078918989542222 on")] * 2
+    df = spark.createDataFrame([(*r, "own", 1) for r in rows], "doc_id long, text string, __more string, __row int")
+    got = sorted((r.text or "") for r in pii.redacted(df).collect())
+    assert got == sorted(["call [EMAIL] or then 123456789 now", "nothing to hide here, not even a word", "", "a +1 (605) 555-9305 [CARD] on"] * 2)
+    assert pii.redacted(df).columns == df.columns
+    assert sorted(len(r.found) for r in pii.extract(df).collect()) == sorted([1, 0, 0, 0] * 2)
+
+
+def test_more_patterns_than_go_along(spark, monkeypatch):
+    rows = [(i, f"call: +1 (555) 123-4{i:03d} thanks") for i in range(10)] + [(100 + i, f"call: 555-123-5{i:03d} thanks") for i in range(10)] + [(200, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.text for r in pii.redacted(df).collect()}
+    monkeypatch.setattr(pii, "BLOCK", 2)
+    assert {r.doc_id: r.text for r in pii.redacted(df).collect()} == want
+    assert want[105] == "call: [PHONE] thanks" and want[200] is None
+
+
+def test_secrets_by_their_context(spark):
+    digest = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'so token = "{digest(i)}" goes on {i}') for i in range(12)] + [(50, 'then token = "a1b2c3d4e5f6g7h8i9" too'), (51, f"commit {digest(99)} of the day"), (52, 'say "hello" = "there"')]
+    got = {r.doc_id: [(s["start"], s["end"], s["kind"]) for s in r.more] for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == [(12, 52, pii.SECRET)] for i in range(12)) and got[50] == [(14, 32, pii.SECRET)]
+    assert not got[51] and not got[52]
+
+
+@pytest.mark.parametrize("text", ["x 1.2.3." + "0" * 6000 + "1 y", "a" * 1_000_000, "a" * 500_000 + " 12 " + "b" * 500_000, "1" * 1_000_000, "1 " * 200_000, "a@" * 200_000, "+1 " * 200_000, "(1" * 200_000])
+def test_long_texts_take_no_longer(text):
+    import time
+
+    began = time.perf_counter()
+    pii.instances(text, pii.base_spans(text))
+    assert time.perf_counter() - began < 5
+
+
 # packing -------------------------------------------------------------------------------------------------------------
 
 
@@ -225,6 +279,13 @@ def test_packing_rows(spark):
         packing.pack(df, 0)
 
 
+def test_rows_alike_are_spread(spark):
+    df = spark.createDataFrame([(1, 60, "s", "c")] * 300, "doc_id long, length long, source string, cluster string")
+    got = packing.pack(df, 100, group_rows=50).toPandas()
+    assert len(got) == 300 and got["bin_id"].nunique() == 300
+    assert (got["bin_id"].floordiv(1 << 32).value_counts() < 100).all()
+
+
 # pages ---------------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
@@ -274,6 +335,24 @@ def test_deep_and_long_pages():
     assert html_text.main_text(long).count("\n") == 19_999
 
 
+def test_adverts_in_lines_and_titles_in_headers():
+    page = '<body><article><div class="article-header"><h1>The title</h1><span>by someone</span></div><header><p>Date</p></header><p class="ad">Buy this, now.</p><p>Real text, with a comma.</p><a class="sponsored" href=x>More</a></article></body>'
+    assert html_text.main_text(page) == "The title\nReal text, with a comma."
+
+
+@pytest.mark.parametrize("page", ['<a href="x ' * 40_000, "<a " * 100_000, '<a ">' * 40_000, "<div " * 100_000 + ">", "</script " * 40_000 + "<script>" + "</script " * 40_000, "<!" * 100_000, "<p><div>" * 2000 + "x"])
+def test_broken_markup_takes_no_longer(page):
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_quoted_brackets():
+    assert html_text.main_text("<body><p title=\"a>b\">one</p><p title=it's>two</p></body>") == "one\ntwo"
+
+
 def test_page_rows(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 1), (1, "u", PAGE, 1), (2, None, None, 2), (None, "", "", 3)], "page_id long, url string, html string, n_chars int")
     got = html_text.extract(df, ["page_id", "url"]).collect()

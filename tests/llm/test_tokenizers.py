@@ -58,6 +58,23 @@ def test_states_are_compiled_again_after_reset():
     assert c.count(TRICKY) == want
 
 
+def test_long_pieces_and_few_states(library):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = ["".join(letters[rng.integers(0, 26, 30_000)]), "a" * 20_001, "ab" * 9_000 + " x " + "é" * 9_000, "-" * 12_345, "".join(letters[rng.integers(0, 3, 9_000)]) + "1" * 7_000]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    c = token_counts.CompiledTokenizer(JSON)
+    assert c.count(texts) == want
+    whole = c.pieces.counts
+    c.pieces.counts = lambda data, start, length: whole(data, start, length, 200)
+    assert c.count(texts) == want and len(c.pieces.states) < 3000
+
+
+def test_chunk_maps_compose():
+    f, g = {"s": ("a", 2), "t": ("b", 3)}, {"a": ("z", 5)}
+    assert token_counts.composed(f, g) == {"s": ("z", 7)} and token_counts.composed(f) is f
+
+
 def test_token_count_rows(spark):
     rows = [(1, "hello world", 9), (1, "hello world", 9), (None, None, 1), (3, "", 2), (4, "x " * 20000, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
