@@ -34,7 +34,8 @@ SIGNED = "CASE WHEN {flag} THEN -l_quantity ELSE l_quantity END"
 VEC = "SELECT l_partkey AS det, CAST(sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS BIGINT) AS v FROM lineitem GROUP BY 1 HAVING sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) <> 0"
 VEC2 = "SELECT l_partkey AS det, CAST(sum(CASE WHEN l_linestatus = 'O' THEN -l_quantity ELSE l_quantity END) AS BIGINT) AS v FROM lineitem GROUP BY 1 HAVING sum(CASE WHEN l_linestatus = 'O' THEN -l_quantity ELSE l_quantity END) <> 0"
 DETS6 = "SELECT det FROM (SELECT CAST(range AS BIGINT) AS det FROM range(4096)) WHERE bit_count(det & 63) = 3 AND bit_count(det >> 6) = 3"
-AMP = f"SELECT d.det, CAST(sum(l_quantity) AS BIGINT) AS v FROM ({DETS6}) d JOIN lineitem ON l_orderkey % 4096 = d.det GROUP BY 1"
+#: Every row of lineitem counts for one of the 400 half-filled states.
+AMP = f"SELECT d.det, CAST(sum(l_quantity) AS BIGINT) AS v FROM (SELECT det, row_number() OVER (ORDER BY det) - 1 AS k FROM ({DETS6})) d JOIN lineitem ON l_orderkey % 400 = d.k GROUP BY 1"
 PAIRS = f"SELECT a.det AS det, b.det AS det2 FROM ({DETS6}) a JOIN ({DETS6}) b ON (a.det + 31 * b.det) % 97 = 0"
 #: Irreps of six orbitals and the chain's boundary pair of bits.
 IRREPS = [0, 1, 2, 0, 1, 2]
@@ -65,9 +66,9 @@ def dets6(spark: SparkSession) -> DataFrame:
 
 
 def amp(spark: SparkSession, d: str) -> DataFrame:
-    items = read(spark, d, "lineitem").select((F.col("l_orderkey") % 4096).alias("det"), "l_quantity")
-    sums = items.groupBy("det").agg(F.sum("l_quantity").cast("long").alias("v"))
-    return sums.join(dets6(spark), "det", "left_semi").select("det", "v")
+    states = F.array(*[F.lit(k).cast("long") for k in range(4096) if (k & 63).bit_count() == (k >> 6).bit_count() == 3])
+    items = read(spark, d, "lineitem").select((F.col("l_orderkey") % 400).cast("int").alias("k"), "l_quantity")
+    return items.groupBy("k").agg(F.sum("l_quantity").cast("long").alias("v")).select(F.get(states, F.col("k")).alias("det"), "v")
 
 
 def pairs(spark: SparkSession) -> DataFrame:
@@ -168,17 +169,15 @@ def uniform_children(spark, d):
 
 # Vector store --------------------------------------------------------------------------------------------------------
 
-HALF = f"SELECT * FROM ({VEC}) WHERE det % 2 = 0"
-SPAWN = f"SELECT det, v, det % 3 = 0 AS ini FROM ({VEC2})"
+#: Adds by order key, of which some are keys of the vector.
+SPAWN = "SELECT l_orderkey AS det, CAST(sum(CASE WHEN l_linestatus = 'O' THEN -l_quantity ELSE l_quantity END) AS BIGINT) AS v, l_orderkey % 3 = 0 AS ini FROM lineitem GROUP BY l_orderkey HAVING sum(CASE WHEN l_linestatus = 'O' THEN -l_quantity ELSE l_quantity END) <> 0"
 DISTINCT = "(SELECT det, v FROM a UNION ALL SELECT det, v FROM b)"
 
 
-def half(spark, d):
-    return vec(spark, d).where("det % 2 = 0")
-
-
 def spawned(spark, d):
-    return vec2(spark, d).withColumn("ini", F.col("det") % 3 == 0)
+    amount = F.when(F.col("l_linestatus") == "O", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    sums = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("det")).agg(F.sum(amount).cast("long").alias("v"))
+    return sums.where("v <> 0").withColumn("ini", F.col("det") % 3 == 0)
 
 
 @query("vector_merge", f"SELECT det, CAST(sum(v) AS BIGINT) AS v FROM (SELECT * FROM ({VEC}) UNION ALL SELECT * FROM ({VEC2})) GROUP BY 1")
@@ -186,24 +185,24 @@ def vector_merge(spark, d):
     return V.merge(vec(spark, d), vec2(spark, d))
 
 
-@query("vector_merge_initiator", f"SELECT det, CAST(sum(v) AS BIGINT) AS v FROM (SELECT det, v FROM ({HALF}) UNION ALL SELECT det, v FROM ({SPAWN}) s WHERE ini OR det IN (SELECT det FROM ({HALF}))) GROUP BY 1")
+@query("vector_merge_initiator", f"SELECT det, CAST(sum(v) AS BIGINT) AS v FROM (SELECT det, v FROM ({VEC}) UNION ALL SELECT det, v FROM ({SPAWN}) s WHERE ini OR det IN (SELECT det FROM ({VEC}))) GROUP BY 1")
 def vector_merge_initiator(spark, d):
-    return V.merge(half(spark, d), V.accepted(half(spark, d), spawned(spark, d)))
+    return V.merge(vec(spark, d), V.accepted(vec(spark, d), spawned(spark, d)))
 
 
-@query("merge_in_place", f"SELECT det, CAST(sum(v) AS BIGINT) AS v FROM (SELECT det, v FROM ({HALF}) UNION ALL SELECT det, v FROM ({SPAWN}) s WHERE ini OR det IN (SELECT det FROM ({HALF})) OR det IN (SELECT det FROM ({SPAWN}) WHERE ini)) GROUP BY 1")
+@query("merge_in_place", f"SELECT det, CAST(sum(v) AS BIGINT) AS v FROM (SELECT det, v FROM ({VEC}) UNION ALL SELECT det, v FROM ({SPAWN}) s WHERE ini OR det IN (SELECT det FROM ({VEC})) OR det IN (SELECT det FROM ({SPAWN}) WHERE ini)) GROUP BY 1")
 def merge_in_place(spark, d):
-    return V.merge_initiator(half(spark, d), spawned(spark, d))
+    return V.merge_initiator(vec(spark, d), spawned(spark, d))
 
 
-@query("rejected_spawns", f"SELECT det, v FROM ({SPAWN}) WHERE NOT ini AND det NOT IN (SELECT det FROM ({HALF}))")
+@query("rejected_spawns", f"SELECT det, v FROM ({SPAWN}) WHERE NOT ini AND det NOT IN (SELECT det FROM ({VEC}))")
 def rejected_spawns(spark, d):
-    return V.rejected(half(spark, d), spawned(spark, d)).select("det", "v")
+    return V.rejected(vec(spark, d), spawned(spark, d)).select("det", "v")
 
 
-@query("accepted_non_initiators", f"SELECT count(*) AS n_accepted FROM ({SPAWN}) WHERE NOT ini AND det IN (SELECT det FROM ({HALF}))")
+@query("accepted_non_initiators", f"SELECT count(*) AS n_accepted FROM ({SPAWN}) WHERE NOT ini AND det IN (SELECT det FROM ({VEC}))")
 def accepted_non_initiators(spark, d):
-    return V.accepted_non_initiators(half(spark, d), spawned(spark, d))
+    return V.accepted_non_initiators(vec(spark, d), spawned(spark, d))
 
 
 @query("sign_coherent_count", f"SELECT CAST(sum(CASE WHEN a.v * b.v > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_coherent FROM ({VEC}) a JOIN ({VEC2}) b USING (det)")
@@ -277,9 +276,9 @@ def zero_prune(spark, d):
     return V.prune(df, ["v0", "v1"], "pinned").withColumn("v1", F.col("v1").cast("int"))
 
 
-@query("pin_dense", f"SELECT coalesce(a.det, p.det) AS det, coalesce(v, 0) AS v, p.det IS NOT NULL AS is_dense FROM ({VEC}) a FULL JOIN (SELECT p_partkey + 5 AS det FROM part WHERE p_partkey % 40 = 0) p ON a.det = p.det")
+@query("pin_dense", f"SELECT coalesce(a.det, p.det) AS det, coalesce(v, 0) AS v, p.det IS NOT NULL AS is_dense FROM ({VEC}) a FULL JOIN (SELECT 3 * s_suppkey AS det FROM supplier) p ON a.det = p.det")
 def pin_dense(spark, d):
-    keys = read(spark, d, "part").where("p_partkey % 40 = 0").select((F.col("p_partkey") + 5).alias("det"))
+    keys = read(spark, d, "supplier").select((3 * F.col("s_suppkey")).alias("det"))
     return V.pin(vec(spark, d), keys, "is_dense")
 
 
@@ -381,9 +380,9 @@ def irrep(x: str) -> str:
     return f"{IRREP_SQL}[1 + {x} % 6]"
 
 
-@query("irrep_lookup", "SELECT CAST(p_partkey % 8 AS INTEGER) AS irrep, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS orbs FROM part WHERE p_partkey <= 64 GROUP BY 1")
+@query("irrep_lookup", "SELECT CAST(p_partkey % 8 AS INTEGER) AS irrep, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS orbs FROM part GROUP BY 1")
 def irrep_lookup(spark, d):
-    orbs = read(spark, d, "part").where("p_partkey <= 64").select(F.col("p_partkey").alias("orb"), (F.col("p_partkey") % 8).cast("int").alias("irrep"))
+    orbs = read(spark, d, "part").select(F.col("p_partkey").alias("orb"), (F.col("p_partkey") % 8).cast("int").alias("irrep"))
     return molecule.irrep_lookup(orbs).select("irrep", F.array_join(F.col("orbs").cast("array<string>"), ",").alias("orbs"))
 
 
@@ -618,12 +617,12 @@ def text_vector_roundtrip(spark, d):
     import uuid
 
     from .sources.readers import read_vector_text
+    from .sources.writers import write_vector_text
     from .storage import shared_dir
 
     path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}/"
-    rows = vec(spark, d).orderBy("det").coalesce(1)
-    rows.select(F.col("det").cast("string")).write.text(f"{path}dets")
-    rows.select(F.col("v").cast("string")).write.text(f"{path}vals")
+    rows = vec(spark, d)
+    write_vector_text(rows, path)
     return read_vector_text(spark, path, "long")
 
 

@@ -1,7 +1,8 @@
 """Stochastic compression: exact preservation, systematic resampling, hierarchical forms, budgets and controls.
 
-Prefix sums are two-level: keys are cut into ranges, the ranges' sums are accumulated over a table with a row per range,
-and inside a range a window runs. No window spans the vector.
+What several passes read is written once. Prefix sums are two-level: keys are cut into ranges, more of them for more rows,
+the ranges' sums are accumulated over a table with a row per range, and inside a range a window runs. No window spans the
+vector.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import scratch
+
 #: What is left counts as nothing under these.
 REST_NONE = 1e-9
 SUB_REST_NONE = 1e-8
@@ -27,30 +30,49 @@ class Preserved:
     n_left: int
     rest: float | int
     norm: float | int
+    rows: int = 0
+
+
+def head_start(sizes: DataFrame, m: int, size: str) -> tuple[int, float | int, float | int, int]:
+    """(kept, rest, norm, rows) of a set of large rows that the fixed point keeps for sure.
+
+    One aggregate gives count and sum by quarters of powers of two (a few thousand at most). The threshold of the rows
+    from some size on being at most that size, the falling threshold can't stop above it.
+    """
+    bucket = F.floor(F.log2(F.col(size).cast("double")) * 4).cast("int")
+    found = sizes.where(F.col(size) > 0).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.sum(size).alias("s")).orderBy("b").collect()
+    norm = sum(r["s"] for r in found)
+    kept, rest, best = sum(r["n"] for r in found), 0, (0, norm)
+    rows = kept
+    for r in found:  # from the smallest on; the rows of this bucket and above are kept
+        if kept < m and rest / (m - kept) <= 2.0 ** (r["b"] / 4) * (1 - 1e-9):
+            best = (kept, rest)
+            break
+        kept, rest = kept - r["n"], rest + r["s"]
+    return *best, norm, rows
 
 
 def preserve(df: DataFrame, m: int, value: str = "v") -> Preserved:
     """Mark the rows with |v| >= rest / (m - kept), by the fixed point of a falling threshold.
 
-    Each pass is one aggregate over the rows; there are about as many passes as in bisecting the values' range. Equal
-    magnitudes are kept or not together. Integer values are compared exactly.
+    The rows are written once. One aggregate by magnitudes brings the threshold close to its end, and a few more passes
+    over one column settle it. Equal magnitudes are kept or not together. Integer values are compared exactly.
     """
     size = F.abs(F.col(value))
     whole = df.schema[value].dataType.typeName() in ("long", "integer", "short", "byte")
-    df = df.where(F.col(value).isNotNull())
-    norm = df.agg(F.sum(size)).first()[0] or 0
-    kept, rest = 0, norm
+    df = scratch(df.where(F.col(value).isNotNull()), "preserve")
+    kept, rest, norm, rows = head_start(df.select(size.alias("__size")), m, "__size")
     while m > kept and rest > 0:
         over = size * F.lit(m - kept) >= F.lit(rest) if whole else size >= F.lit(rest / (m - kept))
         k, t = df.agg(F.sum(over.cast("long")), F.sum(F.when(~over, size))).first()
         k, t = k or 0, t or 0
         if k >= m:  # every sample is taken by a kept row
-            return Preserved(df.withColumn("keep", over), 0, t, norm)
-        if k == kept and t == rest:
+            return Preserved(df.withColumn("keep", over), 0, t, norm, rows)
+        same, kept, rest = k == kept, k, t  # kept rows are the largest ones: as many rows are the same rows
+        if same:
             break
-        kept, rest = k, t
     if m <= 0:
-        return Preserved(df.withColumn("keep", F.lit(False)), 0, rest, norm)
+        return Preserved(df.withColumn("keep", F.lit(False)), 0, rest, norm, rows)
     left = 0 if rest < REST_NONE else m - kept
     if kept == 0:
         keep = F.lit(False)
@@ -58,7 +80,7 @@ def preserve(df: DataFrame, m: int, value: str = "v") -> Preserved:
         keep = size > 0
     else:
         keep = size * F.lit(m - kept) >= F.lit(rest) if whole else size >= F.lit(rest / (m - kept))
-    return Preserved(df.withColumn("keep", keep), left, rest, norm)
+    return Preserved(df.withColumn("keep", keep), left, rest, norm, rows)
 
 
 def range_tree(key: Column, bounds: list, lo: int = 0, hi: int | None = None) -> Column:
@@ -70,10 +92,12 @@ def range_tree(key: Column, bounds: list, lo: int = 0, hi: int | None = None) ->
     return F.when(key < F.lit(bounds[mid]), range_tree(key, bounds, lo, mid)).otherwise(range_tree(key, bounds, mid + 1, hi))
 
 
-def with_prefix(df: DataFrame, order: list[str], amount: Column, name: str = "cum", ranges: int = 64) -> DataFrame:
-    """Inclusive prefix sums of `amount` in the order given, over ranges of the first order column."""
+def with_prefix(df: DataFrame, order: list[str], amount: Column, name: str = "cum", rows: int = 0, ranges: int | None = None) -> DataFrame:
+    """Inclusive prefix sums of `amount` in the order given, over ranges of the first order column: 64, or one for half a
+    million rows up to 512."""
+    ranges = ranges or min(512, max(64, rows // 500_000))
     df = df.withColumn("__amount", amount)
-    cuts = df.agg(F.percentile_approx(F.col(order[0]), [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []
+    cuts = df.agg(F.percentile_approx(F.col(order[0]), [i / ranges for i in range(1, ranges)], max(1000, 10 * ranges))).first()[0] or []
     df = df.withColumn("__range", range_tree(F.col(order[0]), sorted(set(cuts))))
     sums = df.groupBy("__range").agg(F.sum("__amount").alias("__sum"))
     before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("__range", "__before")
@@ -93,9 +117,9 @@ def ticks_below(cum: Column, total: float | int, n: int, r: float, whole: bool)
     return F.greatest(F.lit(0).cast("long"), F.ceil(cum * F.lit(n / total) - F.lit(r)).cast("long"))
 
 
-def with_ticks(df: DataFrame, order: list[str], amount: Column, total, n: int, r: float, whole: bool) -> DataFrame:
+def with_ticks(df: DataFrame, order: list[str], amount: Column, total, n: int, r: float, whole: bool, rows: int = 0) -> DataFrame:
     """`hits`: how many ticks fall into each row's share of the prefix sum."""
-    df = with_prefix(df, order, amount, "__c").withColumn("__w", amount)
+    df = with_prefix(df, order, amount, "__c", rows).withColumn("__w", amount)
     upto = ticks_below(F.col("__c"), total, n, r, whole)
     below = df.withColumn("__upto", upto).withColumn("__c", F.col("__c") - F.col("__w"))
     return below.withColumn("hits", F.col("__upto") - ticks_below(F.col("__c"), total, n, r, whole)).drop("__c", "__w", "__upto")
@@ -108,7 +132,7 @@ def systematic(p: Preserved, value: str = "v", order: list[str] | None = None, r
     if p.n_left == 0:
         return p.df.where("keep").withColumn("new", F.col(value).cast("double"))
     amount = F.when(F.col("keep"), F.lit(0)).otherwise(F.abs(F.col(value)))
-    got = with_ticks(p.df.where(F.col(value) != 0), order, amount, p.rest, p.n_left, r, whole)
+    got = with_ticks(p.df.where(F.col(value) != 0), order, amount, p.rest, p.n_left, r, whole, p.rows)
     unit = p.rest / p.n_left
     new = F.when(F.col("keep"), F.col(value).cast("double")).when(F.col("hits") > 0, F.signum(F.col(value).cast("double")) * F.lit(unit))
     return got.withColumn("new", new).where(F.col("new").isNotNull()).drop("hits")
@@ -162,7 +186,7 @@ def round_small(value: Column, u: Column, least: float = 1.0) -> Column:
 def children(df: DataFrame, weights: str | None, value: str = "v", n_div: str | None = None, row: str = "row") -> DataFrame:
     """(row, sub, child value) of rows that are cut uniformly (n_div > 0) or by an array of weights."""
     if n_div is None:
-        return df.select("*", F.posexplode(weights).alias("sub", "__w")).withColumn("child", F.col(value) * F.col("__w")).drop("__w")
+        return df.select(*[c for c in df.columns if c != weights], F.posexplode(weights).alias("sub", "__w")).withColumn("child", F.col(value) * F.col("__w")).drop("__w")
     share = F.when(F.col(n_div) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.col(n_div), F.lit(1))), lambda _: 1.0 / F.col(n_div)))
     if weights is not None:
         share = share.otherwise(F.col(weights))
@@ -174,7 +198,7 @@ def hierarchical(df: DataFrame, m: int, weights: str | None, value: str = "v", r
     parts = children(df, weights, value, n_div, row).where(F.col("child") != 0)
     p = preserve(parts, m, "child")
     if parts.schema["child"].dataType.typeName() == "double":
-        p = Preserved(p.df.withColumn("keep", F.col("keep") & (F.abs("child") > SUB_TINY)), 0 if p.n_left == 0 or p.rest / p.n_left < SUB_REST_NONE else p.n_left, p.rest, p.norm)
+        p = Preserved(p.df.withColumn("keep", F.col("keep") & (F.abs("child") > SUB_TINY)), 0 if p.n_left == 0 or p.rest / p.n_left < SUB_REST_NONE else p.n_left, p.rest, p.norm, p.rows)
     return systematic(p, "child", [row, "sub"], r)
 
 

@@ -1,7 +1,7 @@
 """Molecular Hamiltonians on LONG keys (up to 31 orbitals).
 
-Excitations are generated by native array expressions; matrix elements are looked up, a batch at a time, in integral
-arrays whose size depends on the molecule only.
+Excitations are generated by native array expressions; matrix elements are sums over integral arrays, for a whole batch
+at a time. The arrays go along with the tasks: at 31 orbitals, the most a key holds, they have 7.4 MB.
 """
 
 from __future__ import annotations
@@ -71,6 +71,28 @@ class Molecule:
         exchange = self.eri[s[:, None], s[None], s[None], s[:, None]] * (spin[:, None] == spin[None])
         return float(self.core + self.h[s, s].sum() + 0.5 * (direct - exchange).sum())
 
+    def occupations(self, dets: np.ndarray) -> np.ndarray:
+        """Rows of 0 and 1 by spin orbital."""
+        return (np.asarray(dets, np.int64)[:, None] >> np.arange(2 * self.n_orb)) & 1
+
+    def diagonals(self, dets: np.ndarray) -> np.ndarray:
+        """diagonal() of many keys."""
+        k = np.arange(self.n_orb)
+        direct, exchange = self.eri[k[:, None], k[:, None], k[None], k[None]], self.eri[k[:, None], k[None], k[None], k[:, None]]
+        pairs = np.block([[direct - exchange, direct], [direct, direct - exchange]])
+        occ = self.occupations(dets).astype(float)
+        return self.core + occ @ np.tile(self.h[k, k], 2) + 0.5 * ((occ @ pairs) * occ).sum(1)
+
+    def single_elements(self, dets: np.ndarray, i: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """single_element() of many keys and moves."""
+        n, k = self.n_orb, np.arange(self.n_orb)
+        p, q, spin = i % n, a % n, i // n
+        direct, exchange = self.eri[:, :, k, k][p, q], self.eri[:, k, k, :].transpose(0, 2, 1)[p, q]
+        occ = self.occupations(dets)
+        occ[np.arange(len(occ)), i] = 0
+        both = occ.reshape(-1, 2, n)
+        return self.h[p, q] + (both.sum(1) * direct).sum(1) - (both[np.arange(len(occ)), spin] * exchange).sum(1)
+
     def flip_adjusted_diagonal(self, det: int, parity: int) -> float:
         """Diagonal in the basis of spin-flip pairs: the partner's element joins in; odd self-conjugate keys give 0."""
         kind, orbs = strings.flip_connection(det, self.n_orb)
@@ -141,7 +163,7 @@ def nth_virtual_of_irrep(det: str, irreps: list[int], irrep: Column, spin: Colum
 def diagonal_of(mol: Molecule):
     @F.pandas_udf("double")
     def diag(det: pd.Series) -> pd.Series:
-        return det.map(lambda d: mol.diagonal(strings.positions(int(d)))).astype(float)
+        return pd.Series(mol.diagonals(det.to_numpy(np.int64)))
 
     return diag
 
@@ -159,7 +181,7 @@ def offdiagonal(df: DataFrame, mol: Molecule, det: str = "det") -> DataFrame:
 
     @F.pandas_udf("double")
     def of_single(d: pd.Series, i: pd.Series, a: pd.Series) -> pd.Series:
-        return pd.Series([mol.single_element(int(x), int(y), strings.positions(int(k))) for k, x, y in zip(d, i, a, strict=True)], dtype=float)
+        return pd.Series(mol.single_elements(*(x.to_numpy(np.int64) for x in (d, i, a))))
 
     @F.pandas_udf("double")
     def of_double(i: pd.Series, j: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:

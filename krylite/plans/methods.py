@@ -19,7 +19,7 @@ from ..operators import vector as V
 from ..operators.compress import adjust_geometric, adjust_shift, column_samples, compress, round_binomial, round_small
 from ..operators.samplers import compress_columns, generator
 from ..schemas import TRAJECTORY
-from ..storage import Saved
+from ..storage import Saved, scope, scratch
 from .models import ChainModel, Model, MoleculeModel
 
 
@@ -76,13 +76,13 @@ def flagged(vec: DataFrame, cfg: Config, threshold: float | None = None) -> Data
 
 def exact_spawn(vec: DataFrame, model: Model, cfg: Config, it: int) -> DataFrame:
     got = model.offdiagonal(flagged(vec, cfg))
-    return got.select(F.col("det2").alias("det"), (-cfg.eps * F.col("el") * F.col("v")).alias("v"), "ini")
+    return got.select(F.col("det").alias("src"), F.col("det2").alias("det"), (-cfg.eps * F.col("el") * F.col("v")).alias("v"), "ini")
 
 
 def chain_spawn(vec: DataFrame, model: ChainModel, cfg: Config, it: int) -> DataFrame:
     got = model.sampled(vec, cfg.matrix_nonzero, cfg.seed * 1_000_003 + it)
     flags = flagged(vec, cfg).select("det", "ini")
-    return got.join(flags, "det").select(F.col("det2").alias("det"), (-cfg.eps * F.col("el")).alias("v"), "ini")
+    return got.join(flags, "det").select(F.col("det").alias("src"), F.col("det2").alias("det"), (-cfg.eps * F.col("el")).alias("v"), "ini")
 
 
 def heat_bath_spawn(vec: DataFrame, model: MoleculeModel, cfg: Config, it: int) -> DataFrame:
@@ -90,7 +90,7 @@ def heat_bath_spawn(vec: DataFrame, model: MoleculeModel, cfg: Config, it: int)
     p = cfg.p_doub if cfg.p_doub is not None else heat_bath.double_probability(mol)
     got = heat_bath.apply(vec, mol, heat_bath.tensors(mol), cfg.matrix_nonzero, p, cfg.compression, cfg.seed * 1_000_003 + it)
     flags = flagged(vec, cfg).select("det", "ini")
-    return got.join(flags, "det").select(F.col("det2").alias("det"), (-cfg.eps * F.col("el")).alias("v"), "ini")
+    return got.join(flags, "det").select(F.col("det").alias("src"), F.col("det2").alias("det"), (-cfg.eps * F.col("el")).alias("v"), "ini")
 
 
 def multinomial_spawn(vec: DataFrame, model: MoleculeModel, cfg: Config, it: int) -> DataFrame:
@@ -102,7 +102,7 @@ def multinomial_spawn(vec: DataFrame, model: MoleculeModel, cfg: Config, it: int
     walks = flagged(column_samples(vec, n, r=r).where("n_walk > 0"), cfg)
     got = model.drawn(walks, p, cfg.seed * 1_000_003 + it, cfg.distribution).join(walks.select("det", "ini"), "det")
     share = F.col("v") / F.col("n_walk") / F.col("prob")
-    return got.select(F.col("det2").alias("det"), (-cfg.eps * F.col("el") * share).alias("v"), "ini")
+    return got.select(F.col("det").alias("src"), F.col("det2").alias("det"), (-cfg.eps * F.col("el") * share).alias("v"), "ini")
 
 
 def walker_spawn(vec: DataFrame, model: MoleculeModel, cfg: Config, it: int, whole: bool = True) -> DataFrame:
@@ -114,7 +114,7 @@ def walker_spawn(vec: DataFrame, model: MoleculeModel, cfg: Config, it: int, who
     x = got.withColumn("x", -cfg.eps * F.col("el") * one / F.col("prob")).withColumn("k", F.monotonically_increasing_id())
     u = B.uniform("det", "det2", "k", seed=cfg.seed * 7919 + it)
     new = F.signum("x") * round_binomial(F.abs("x"), u) if whole else round_small(F.col("x"), u, 0.01)
-    return x.select(F.col("det2").alias("det"), new.cast("double").alias("v"), "ini").where("v <> 0")
+    return x.select(F.col("det").alias("src"), F.col("det2").alias("det"), new.cast("double").alias("v"), "ini").where("v <> 0")
 
 
 SPAWN = {"exact": exact_spawn, "chain": chain_spawn, "heat_bath": heat_bath_spawn, "multinomial": multinomial_spawn, "walkers": walker_spawn, "float_walkers": lambda v, m, c, i: walker_spawn(v, m, c, i, False)}
@@ -136,18 +136,20 @@ def ground_state(spark: SparkSession, model: Model, cfg: Config, spawn: str = "e
     walkers = spawn in ("walkers", "float_walkers")
     last, out = 0.0, []
     for it in range(cfg.iterations):
-        diag = model.diagonal()
-        adds = SPAWN[spawn](vec.df, model, cfg, it)
-        if block is not None:  # the block is exact: sampled moves inside it are left out
-            src = vec.df.join(dense.df, "det", "left_semi")
-            outer = SPAWN[spawn](vec.df.join(dense.df, "det", "left_anti"), model, cfg, it).unionByName(SPAWN[spawn](src, model, cfg, it).join(dense.df, "det", "left_anti"))
-            adds = outer.unionByName(V.coo_multiply(block.df, src).withColumn("ini", F.lit(True)))
-        kept = V.death_cloning(vec.df, "v", diag, cfg.eps, shift)
-        if walkers:
-            u = B.uniform("det", seed=cfg.seed * 104_729 + it)
-            kept = kept.withColumn("v", F.signum("v") * round_binomial(F.abs("v"), u) if spawn == "walkers" else round_small(F.col("v"), u)).withColumn("v", F.col("v").cast("double"))
-        ok = V.accepted(vec.df, adds) if not walkers else adds.where("ini").unionByName(adds.where("not ini").join(vec.df.where("v <> 0").select("det").unionByName(adds.where("ini").select("det")), "det", "left_semi"))
-        merged = Saved(V.merge(kept, ok).where("v <> 0"), "merged")
+        with scope():  # what a step writes on its way goes with it
+            diag = model.diagonal()
+            adds = SPAWN[spawn](vec.df, model, cfg, it)
+            if block is not None:  # the block is exact: sampled moves inside it are left out
+                inside = lambda name: dense.df.select(F.col("det").alias(name), F.lit(True).alias(f"in_{name}"))
+                adds = adds.join(inside("src"), "src", "left").join(inside("det"), "det", "left").where("in_src is null or in_det is null").select("det", "v", "ini")
+                adds = adds.unionByName(V.coo_multiply(block.df, vec.df.join(dense.df, "det", "left_semi")).withColumn("ini", F.lit(True)))
+            adds = scratch(adds.select("det", "v", "ini"), "adds")
+            kept = V.death_cloning(vec.df, "v", diag, cfg.eps, shift)
+            if walkers:
+                u = B.uniform("det", seed=cfg.seed * 104_729 + it)
+                kept = kept.withColumn("v", F.signum("v") * round_binomial(F.abs("v"), u) if spawn == "walkers" else round_small(F.col("v"), u)).withColumn("v", F.col("v").cast("double"))
+            ok = V.accepted(vec.df, adds) if not walkers else adds.where("ini").unionByName(adds.where("not ini").join(vec.df.where("v <> 0").select("det").unionByName(adds.where("ini").select("det")), "det", "left_semi"))
+            merged = Saved(V.merge(kept, ok).where("v <> 0"), "merged")
         stats = merged.df.agg(F.sum(F.abs("v")).alias("norm"), F.count("*").alias("n"), F.sum((F.abs("v") >= cfg.initiator).cast("long")).alias("n_ini")).first()
         norm = float(stats["norm"] or 0.0)
         if (it + 1) % cfg.shift_interval == 0 and norm:
@@ -160,8 +162,9 @@ def ground_state(spark: SparkSession, model: Model, cfg: Config, spawn: str = "e
         else:
             fixed = merged.df.join(dense.df, "det", "left_semi") if block is not None else None
             loose = merged.df.join(dense.df, "det", "left_anti") if block is not None else merged.df
-            small = compress(loose, cfg.target_nonzero, r=float(generator(cfg.seed, it).random()))
-            new = Saved(small.select("det", "v") if fixed is None else small.select("det", "v").unionByName(fixed), "vec")
+            with scope():
+                small = compress(loose, cfg.target_nonzero, r=float(generator(cfg.seed, it).random()))
+                new = Saved(small.select("det", "v") if fixed is None else small.select("det", "v").unionByName(fixed), "vec")
             merged.drop()
         vec.drop()
         vec = new
@@ -222,45 +225,46 @@ def subspace(spark: SparkSession, model: MoleculeModel, cfg: Config, trials: Dat
     vec = replaced(vec, vec.df.select("det", *[(F.col(v) * (1000.0 / norms[v])).alias(v) for v in values], "pinned"))
     shifts, last, out, matrices = np.zeros(k), [0.0] * k, [], []
     for it in range(cfg.iterations):
-        row = vec.df.agg(*[F.sum(F.abs(v)).alias(v) for v in values]).first()
-        norm = [float(row[v]) for v in values]
-        for j in range(k):
-            shifts[j], last[j] = adjust_geometric(float(shifts[j]), norm[j], last[j], cfg.damping / cfg.eps)
-            out += [(cfg.run, it, f"norm{j}", norm[j]), (cfg.run, it, f"S{j}", float(shifts[j]))]
-        if it % cfg.observe_every == 0:
-            d = matrix(V.batched_dot(pinned.df, vec.df, values, values), k)
-            left = h_trial.df if h_trial is not None else h_columns(pinned.df.drop("pinned"), model, values, cfg.parity)
-            h = matrix(V.batched_dot(left, vec.df, values, values), k)
-            matrices.append((it, h, d))
-            if it and it % cfg.restart_interval == 0:
-                turn = linalg.inverse_r(d - cfg.eps * h)
-                turned = Saved(V.rotate(vec.df, values, turn), "vec")
-                after = turned.df.agg(*[F.sum(F.abs(v)).alias(v) for v in values]).first()
-                vec.drop()
-                vec = replaced(turned, turned.df.select("det", *[(F.col(v) * (norm[j] / after[v])).alias(v) for j, v in enumerate(values)], "pinned"))
-        small = compress_columns(vec.df, values, cfg.target_nonzero, cfg.compression if cfg.compression != "heat_bath" else "pivotal", cfg.seed + 1000 * it, pinned="pinned")
-        vec = replaced(vec, small)
-        steps = None
-        for j, v in enumerate(values):
-            one = vec.df.where(F.col(v) != 0).select("det", F.col(v).alias("v"))
-            threshold = cfg.initiator * norm[j] / max(1, cfg.target_nonzero)
-            source = one if cfg.parity is None else molecule.unfold(one, "v", mol.n_orb, cfg.parity)
-            if product == "exact":
-                adds = model.offdiagonal(source).select("det", "det2", (F.col("el") * F.col("v")).alias("x"))
-            else:
-                p = cfg.p_doub if cfg.p_doub is not None else heat_bath.double_probability(mol)
-                adds = heat_bath.apply(source, mol, heat_bath.tensors(mol), cfg.matrix_nonzero, p, "pivotal", cfg.seed + 1000 * it + j).select("det", "det2", F.col("el").alias("x"))
-            if cfg.parity is not None:  # elements within a pair become adds to its own key
-                origin, _ = molecule.fold("det", F.col("x"), mol.n_orb, cfg.parity)
-                target, x = molecule.fold("det2", F.col("x"), mol.n_orb, cfg.parity)
-                adds = adds.select(origin.alias("det"), target.alias("det2"), x.alias("x")).where("x <> 0")
-            flags = flagged(one, cfg, threshold)
-            adds = adds.join(flags.select("det", "ini"), "det").select(F.col("det2").alias("det"), (-cfg.eps * F.col("x")).alias("v"), "ini")
-            step = V.death_cloning(one, "v", model.diagonal(), cfg.eps, float(shifts[j])).unionByName(V.accepted(one, adds).select("det", "v"))
-            step = step.groupBy("det").agg(F.sum("v").alias(v))
-            steps = step if steps is None else steps.join(step, "det", "full")
-        merged = steps.join(vec.df.where("pinned").select("det", "pinned"), "det", "full")
-        vec = replaced(vec, merged.select("det", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values], F.coalesce("pinned", F.lit(False)).alias("pinned")))
+        with scope():
+            row = vec.df.agg(*[F.sum(F.abs(v)).alias(v) for v in values]).first()
+            norm = [float(row[v]) for v in values]
+            for j in range(k):
+                shifts[j], last[j] = adjust_geometric(float(shifts[j]), norm[j], last[j], cfg.damping / cfg.eps)
+                out += [(cfg.run, it, f"norm{j}", norm[j]), (cfg.run, it, f"S{j}", float(shifts[j]))]
+            if it % cfg.observe_every == 0:
+                d = matrix(V.batched_dot(pinned.df, vec.df, values, values), k)
+                left = h_trial.df if h_trial is not None else h_columns(pinned.df.drop("pinned"), model, values, cfg.parity)
+                h = matrix(V.batched_dot(left, vec.df, values, values), k)
+                matrices.append((it, h, d))
+                if it and it % cfg.restart_interval == 0:
+                    turn = linalg.inverse_r(d - cfg.eps * h)
+                    turned = Saved(V.rotate(vec.df, values, turn), "vec")
+                    after = turned.df.agg(*[F.sum(F.abs(v)).alias(v) for v in values]).first()
+                    vec.drop()
+                    vec = replaced(turned, turned.df.select("det", *[(F.col(v) * (norm[j] / after[v])).alias(v) for j, v in enumerate(values)], "pinned"))
+            small = compress_columns(vec.df, values, cfg.target_nonzero, cfg.compression if cfg.compression != "heat_bath" else "pivotal", cfg.seed + 1000 * it, pinned="pinned")
+            vec = replaced(vec, small)
+            steps = None
+            for j, v in enumerate(values):
+                one = vec.df.where(F.col(v) != 0).select("det", F.col(v).alias("v"))
+                threshold = cfg.initiator * norm[j] / max(1, cfg.target_nonzero)
+                source = one if cfg.parity is None else molecule.unfold(one, "v", mol.n_orb, cfg.parity)
+                if product == "exact":
+                    adds = model.offdiagonal(source).select("det", "det2", (F.col("el") * F.col("v")).alias("x"))
+                else:
+                    p = cfg.p_doub if cfg.p_doub is not None else heat_bath.double_probability(mol)
+                    adds = heat_bath.apply(source, mol, heat_bath.tensors(mol), cfg.matrix_nonzero, p, "pivotal", cfg.seed + 1000 * it + j).select("det", "det2", F.col("el").alias("x"))
+                if cfg.parity is not None:  # elements within a pair become adds to its own key
+                    origin, _ = molecule.fold("det", F.col("x"), mol.n_orb, cfg.parity)
+                    target, x = molecule.fold("det2", F.col("x"), mol.n_orb, cfg.parity)
+                    adds = adds.select(origin.alias("det"), target.alias("det2"), x.alias("x")).where("x <> 0")
+                flags = flagged(one, cfg, threshold)
+                adds = adds.join(flags.select("det", "ini"), "det").select(F.col("det2").alias("det"), (-cfg.eps * F.col("x")).alias("v"), "ini")
+                step = V.death_cloning(one, "v", model.diagonal(), cfg.eps, float(shifts[j])).unionByName(V.accepted(one, adds).select("det", "v"))
+                step = step.groupBy("det").agg(F.sum("v").alias(v))
+                steps = step if steps is None else steps.join(step, "det", "full")
+            merged = steps.join(vec.df.where("pinned").select("det", "pinned"), "det", "full")
+            vec = replaced(vec, merged.select("det", *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values], F.coalesce("pinned", F.lit(False)).alias("pinned")))
     return RunResult(out, vec.df, float(shifts[0]), matrices)
 
 
@@ -304,15 +308,16 @@ def observable(spark: SparkSession, model: MoleculeModel, cfg: Config, des: int,
     vecs = [Saved(initial if initial is not None else start(spark, model, cfg), f"rep{i}") for i in range(replicas)]
     frozen, out = None, []
     for it in range(cfg.iterations):
-        for i, v in enumerate(vecs):
-            adds = exact_spawn(v.df, model, cfg, it)
-            merged = V.merge(V.death_cloning(v.df, "v", model.diagonal(), cfg.eps, 0.0), V.accepted(v.df, adds)).where("v <> 0")
-            if cfg.weight_power:
-                merged = merged.withColumn("__w", F.col("v")).drop("v").withColumn("v", F.col("__w") * F.pow(1 + F.abs("__w"), F.lit(cfg.weight_power)))
-                small = compress(merged, cfg.target_nonzero, r=float(generator(cfg.seed, it, i).random())).withColumn("v", F.col("v") / F.pow(1 + F.abs("__w"), F.lit(cfg.weight_power)))
-            else:
-                small = compress(merged, cfg.target_nonzero, r=float(generator(cfg.seed, it, i).random()))
-            vecs[i] = replaced(v, small.select("det", "v"))
+        with scope():
+            for i, v in enumerate(vecs):
+                adds = exact_spawn(v.df, model, cfg, it)
+                merged = V.merge(V.death_cloning(v.df, "v", model.diagonal(), cfg.eps, 0.0), V.accepted(v.df, adds)).where("v <> 0")
+                if cfg.weight_power:
+                    merged = merged.withColumn("__w", F.col("v")).drop("v").withColumn("v", F.col("__w") * F.pow(1 + F.abs("__w"), F.lit(cfg.weight_power)))
+                    small = compress(merged, cfg.target_nonzero, r=float(generator(cfg.seed, it, i).random())).withColumn("v", F.col("v") / F.pow(1 + F.abs("__w"), F.lit(cfg.weight_power)))
+                else:
+                    small = compress(merged, cfg.target_nonzero, r=float(generator(cfg.seed, it, i).random()))
+                vecs[i] = replaced(v, small.select("det", "v"))
         if it + 1 == cfg.burn_in or (frozen is None and it >= cfg.burn_in):
             frozen = Saved(vecs[0].df, "frozen")
         if it >= cfg.burn_in and it % cfg.observe_every == 0:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,9 +81,8 @@ class MoleculeModel:
 
         @F.pandas_udf("double")
         def el(det: pd.Series, i: pd.Series, j: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-            from ..functions import strings
-
-            return pd.Series([mol.single_element(int(p), int(r), strings.positions(int(d))) if p == q else float(mol.double_element(int(p), int(q), int(r), int(s))) for d, p, q, r, s in zip(det, i, j, a, b, strict=True)], dtype=float)
+            d, p, q, r, s = (x.to_numpy(np.int64) for x in (det, i, j, a, b))
+            return pd.Series(np.where(p == q, mol.single_elements(d, p, r), mol.double_element(p, q, r, s)))
 
         return el
 

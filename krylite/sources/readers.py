@@ -21,9 +21,16 @@ def text_lines(spark: SparkSession, path: str) -> list[str]:
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file with their number; the file is split and numbered in parallel."""
-    rdd = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex()
-    return spark.createDataFrame(rdd, "value string, line long")
+    """Lines of a text file, or of a folder's files in the order of their names, with their number from 0.
+
+    Lines are numbered within each block of a file; the blocks before it, one row each, give where it starts.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__id"))
+    blocks = lines.groupBy("__file", "__at").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.orderBy("__file", "__at").rowsBetween(W.unboundedPreceding, -1))
+    starts = blocks.select("__file", "__at", F.coalesce(before, F.lit(0)).alias("__start"))
+    inside = F.row_number().over(W.partitionBy("__file", "__at").orderBy("__id")) - 1
+    return lines.withColumn("__inside", inside).join(starts, ["__file", "__at"]).select("value", (F.col("__start") + F.col("__inside")).cast("long").alias("line"))
 
 
 def read_numbers(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:

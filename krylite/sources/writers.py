@@ -36,6 +36,15 @@ def write_text_trajectory(series: DataFrame, path: str, order: str = "iter", val
     series.select(order, F.col(value).cast("string").alias("value")).orderBy(order).select("value").write.mode("overwrite").text(path)
 
 
+def write_vector_text(vec: DataFrame, prefix: str, key: str = "det", value: str = "v") -> None:
+    """`<prefix>dets` and `<prefix>vals`: one number a line, in the order of the keys, which pairs the lines of the two.
+
+    Each is sorted by ranges, so no task holds the whole vector.
+    """
+    for column, name in ((key, "dets"), (value, "vals")):
+        vec.select(F.col(key).alias("__key"), F.col(column).cast("string").alias("value")).orderBy("__key").select("value").write.mode("overwrite").text(f"{prefix}{name}")
+
+
 def write_npy(path: str, a: np.ndarray, append: bool = False) -> None:
     """An array file; appending goes along axis 0."""
     if append:

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a private folder where the session names none (tests)."""
+    """spark.checkpoint.dir; where a session in one process names none (tests), a folder that is cleared at the end."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="krylite-"))
-    return _own[0]
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="krylite-"))
+            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+        at = _own[0]
+    return at.rstrip("/")
 
 
 class Saved:
@@ -32,3 +42,27 @@ class Saved:
     def drop(self) -> None:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_scope: ContextVar[list[Saved] | None] = ContextVar("scope", default=None)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables that scratch() writes inside are deleted at the end; what was made from them must be written by then."""
+    held: list[Saved] = []
+    token = _scope.set(held)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for x in held:
+            x.drop()
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """A table that is read more than once is written once. Outside of a scope it stays until the folder is cleared."""
+    saved = Saved(df, name)
+    if (held := _scope.get()) is not None:
+        held.append(saved)
+    return saved.df

@@ -23,7 +23,7 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    rows = [tuple(None if x is None or x != x else str(x) if hasattr(x, "isoformat") else float(x) if not isinstance(x, (str, bool)) else x for x in r) for r in df.itertuples(index=False)]
+    rows = [tuple(None if x is None or x is pd.NA or x != x else str(x) if hasattr(x, "isoformat") else float(x) if not isinstance(x, (str, bool)) else x for x in r) for r in df.itertuples(index=False)]
     return sorted(rows, key=str)
 
 
