@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import stats
@@ -626,6 +626,130 @@ def text_vector_roundtrip(spark, d):
     return read_vector_text(spark, path, "long")
 
 
+# Files and molecules against SQL --------------------------------------------------------------------------------------
+
+
+def new_path(spark, name: str) -> str:
+    import uuid
+
+    from .storage import shared_dir
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def lines(rows: DataFrame, order: list[str], line: Column, path: str) -> str:
+    """A text file of one line a row, in order."""
+    rows.orderBy(*order).select(line.cast("string").alias("value")).write.text(path)
+    return path
+
+
+@query("csv_numbers", """WITH p AS (SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS row, * FROM part)
+SELECT row, 0 AS col, CAST(p_partkey AS DOUBLE) AS val FROM p UNION ALL SELECT row, 1 AS col, CAST(p_size AS DOUBLE) AS val FROM p UNION ALL SELECT row, 2 AS col, p_retailprice AS val FROM p""")
+def csv_numbers(spark, d):
+    from .sources.readers import read_numbers
+
+    return read_numbers(spark, lines(read(spark, d, "part"), ["p_partkey"], F.concat_ws(" , ", "p_partkey", "p_size", "p_retailprice"), new_path(spark, "csv")))
+
+
+@query("whitespace_numbers", """WITH p AS (SELECT CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS line, * FROM supplier)
+SELECT line, 0 AS pos, CAST(s_suppkey AS DOUBLE) AS val FROM p UNION ALL SELECT line, 1 AS pos, s_acctbal AS val FROM p""")
+def whitespace_numbers(spark, d):
+    from .sources.readers import read_whitespace
+
+    return read_whitespace(spark, lines(read(spark, d, "supplier"), ["s_suppkey"], F.concat(F.lit("  "), F.concat_ws(" \t ", "s_suppkey", "s_acctbal")), new_path(spark, "words")))
+
+
+@query("determinant_list", "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS line, o_orderkey AS det FROM orders")
+def determinant_list(spark, d):
+    from .sources.readers import read_determinants
+
+    return read_determinants(spark, lines(read(spark, d, "orders"), ["o_orderkey"], F.col("o_orderkey"), new_path(spark, "dets")))
+
+
+@query("last_csv_line", "SELECT CAST(event_id AS DOUBLE) AS id, value FROM events ORDER BY event_id DESC LIMIT 1")
+def last_csv_line(spark, d):
+    from .sources.readers import read_last_line
+
+    path = lines(read(spark, d, "events"), ["event_id"], F.concat_ws(",", "event_id", "value"), new_path(spark, "last"))
+    return spark.createDataFrame([tuple(read_last_line(spark, path))], "id double, value double")
+
+
+@query("dice_vector", f"SELECT det, v / 8.0 AS v FROM ({AMP})")
+def dice_vector(spark, d):
+    from .sources.readers import read_dice
+
+    has = lambda k, shift: B.read_bit("det", k + shift) == 1
+    occ = F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda k: F.when(has(k, 0) & has(k, N), "2").when(has(k, 0), "a").when(has(k, N), "b").otherwise("0"))
+    body = amp(spark, d).withColumn("occ", F.array_join(occ, "  "))
+    blocks = [body.select(F.lit(i).alias("block"), "det", F.concat_ws("  ", "det", value.cast("string"), "occ").alias("text")) for i, value in enumerate((F.col("v") * 1.0, F.col("v") / 8.0))]
+    heads = spark.createDataFrame([(i, -1, f"State : {i}") for i in range(2)], "block int, det long, text string")
+    path = lines(heads.unionByName(blocks[0]).unionByName(blocks[1]), ["block", "det"], F.col("text"), new_path(spark, "dice"))
+    return read_dice(spark, path, N, 1)
+
+
+@query("fcidump_rows", """SELECT CASE p_partkey % 5 WHEN 0 THEN 'one' WHEN 1 THEN 'energy' ELSE 'two' END AS kind, CAST(p_partkey % 4 AS INTEGER) AS p, CASE WHEN p_partkey % 5 <> 1 THEN CAST(p_partkey // 4 % 4 AS INTEGER) END AS q,
+CASE WHEN p_partkey % 5 > 1 THEN CAST(p_partkey // 16 % 4 AS INTEGER) END AS r, CASE WHEN p_partkey % 5 > 1 THEN CAST(p_partkey // 64 % 4 AS INTEGER) END AS s, p_retailprice AS val FROM part""")
+def fcidump_rows(spark, d):
+    from .sources.readers import fcidump_table
+
+    k = F.col("p_partkey")
+    index = lambda shift, used: F.when(used, F.shiftright(k, shift) % 4 + 1).otherwise(0)
+    body = read(spark, d, "part").select(k.alias("at"), F.concat_ws(" ", F.col("p_retailprice").cast("string"), index(0, F.lit(True)), index(2, k % 5 != 1), index(4, k % 5 > 1), index(6, k % 5 > 1)).alias("text"))
+    head = spark.createDataFrame([(-4, " &FCI NORB=4,NELEC=4,MS2=0,"), (-3, "  ORBSYM=1,1,1,1,"), (-2, "  ISYM=1,"), (-1, " &END")], "at long, text string")
+    return fcidump_table(spark, lines(head.unionByName(body), ["at"], F.col("text"), new_path(spark, "dump")))
+
+
+@query("hubbard_parameters", "SELECT (SELECT count(*) FROM region) AS n_elec, (SELECT count(*) FROM nation) AS lat_len, CAST(1 AS BIGINT) AS n_dim, max(l_discount) AS eps, max(l_quantity) AS u, max(l_tax) AS omega, min(l_quantity) AS g, -max(l_discount) AS gs_energy FROM lineitem")
+def hubbard_parameters(spark, d):
+    from .sources.readers import read_hubbard
+
+    n, k = read(spark, d, "region").count(), read(spark, d, "nation").count()
+    top = read(spark, d, "lineitem").agg(F.max("l_discount").alias("d"), F.max("l_quantity").alias("q"), F.max("l_tax").alias("t"), F.min("l_quantity").alias("g")).first()
+    given = {"n_elec": n, "lat_len": k, "n_dim": 1, "eps": top["d"], "U": top["q"], "omega": top["t"], "g": top["g"], "gs_energy": -top["d"]}
+    rows = spark.createDataFrame([(i, f"{name}\n{value}") for i, (name, value) in enumerate(given.items())], "at int, text string").coalesce(1)
+    p = read_hubbard(spark, lines(rows, ["at"], F.col("text"), new_path(spark, "params")))
+    return spark.createDataFrame([(p.n_elec, p.lat_len, p.n_dim, p.eps, p.u, p.omega, p.g, p.gs_energy)], "n_elec long, lat_len long, n_dim long, eps double, u double, omega double, g double, gs_energy double")
+
+
+def plain_molecule() -> molecule.Molecule:
+    """Six orbitals with integrals that SQL can state: (pq|rs) = ((p+1)(q+1) + (r+1)(s+1)) / 1000, h = (p+q+1) / 10."""
+    import numpy as np
+
+    k = np.arange(N)
+    both = np.outer(k + 1, k + 1) / 1000
+    return molecule.Molecule(N, N, (k[:, None] + k + 1) / 10, both[:, :, None, None] + both[None, None], IRREPS)
+
+
+OCCUPIED = "list_filter(range(0, 12), lambda o: ((det >> o) & 1) = 1{more})"
+
+
+@query("molecule_diagonal", f"""SELECT det, round(list_sum(list_transform({OCCUPIED.format(more='')}, lambda o: (2 * (o % 6) + 1) / 10.0)) + 0.0005 * list_sum(list_transform({OCCUPIED.format(more='')}, lambda i: list_sum(list_transform({OCCUPIED.format(more='')},
+lambda j: (i % 6 + 1) * (i % 6 + 1) + (j % 6 + 1) * (j % 6 + 1) - CASE WHEN i // 6 = j // 6 THEN 2 * (i % 6 + 1) * (j % 6 + 1) ELSE 0 END)))), 6) AS diagonal FROM ({AMP})""")
+def molecule_diagonal(spark, d):
+    return amp(spark, d).select("det", F.round(molecule.diagonal_of(plain_molecule())("det"), 6).alias("diagonal"))
+
+
+SINGLE_ROWS = f"SELECT det, v, i, a, (det & ~{one('i')}) | {one('a')} AS det2, 1 - 2 * ({BETWEEN.format(d='det', a='i', b='a')} % 2) AS sign, list_sum(list_transform({OCCUPIED.format(more=' AND o <> i')}, lambda o: (i % 6 + 1) * (a % 6 + 1) + (o % 6 + 1) * (o % 6 + 1) - CASE WHEN o // 6 = i // 6 THEN (o % 6 + 1) * (i % 6 + a % 6 + 2) ELSE 0 END)) / 1000.0 + (i % 6 + a % 6 + 1) / 10.0 AS el FROM ({AMP}), ({ORBS.format(x='i')}), ({ORBS.format(x='a')}) WHERE {on('i')} AND {off('a')} AND i // 6 = a // 6 AND {irrep('i')} = {irrep('a')}"
+DOUBLE_ROWS = f"""SELECT det, v, {CORE} | {one('a')} | {one('b')} AS det2, 1 - 2 * (({BETWEEN.format(d=CORE, a='i', b='a')} + {BETWEEN.format(d=CORE, a='j', b='b')}) % 2) AS sign,
+((i % 6 + 1) * (a % 6 + 1) + (j % 6 + 1) * (b % 6 + 1) - CASE WHEN i // 6 = j // 6 THEN (i % 6 + 1) * (b % 6 + 1) + (j % 6 + 1) * (a % 6 + 1) ELSE 0 END) / 1000.0 AS el
+FROM ({AMP}), ({ORBS.format(x='i')}), ({ORBS.format(x='j')}), ({ORBS.format(x='a')}), ({ORBS.format(x='b')})
+WHERE i < j AND a < b AND {on('i')} AND {on('j')} AND {off('a')} AND {off('b')} AND i // 6 = a // 6 AND j // 6 = b // 6 AND xor(xor({irrep('i')}, {irrep('j')}), xor({irrep('a')}, {irrep('b')})) = 0"""
+
+
+@query("molecule_offdiagonal", f"SELECT det, det2, round(sign * el, 6) AS el FROM (SELECT det, det2, sign, el FROM ({SINGLE_ROWS}) UNION ALL SELECT det, det2, sign, el FROM ({DOUBLE_ROWS})) WHERE abs(el) > 1e-12")
+def molecule_offdiagonal(spark, d):
+    got = molecule.offdiagonal(amp(spark, d), plain_molecule())
+    return got.where(F.abs("el") > 1e-12).select("det", "det2", F.round("el", 6).alias("el"))
+
+
+@query("molecule_matrix_element", f"SELECT round(sum(x.v * sign * el * y.v), 3) AS dot FROM (SELECT det2, v, sign, el FROM ({SINGLE_ROWS}) UNION ALL SELECT det2, v, sign, el FROM ({DOUBLE_ROWS})) x JOIN ({AMP}) y ON y.det = x.det2")
+def molecule_matrix_element(spark, d):
+    """<v| off-diagonal H |v>"""
+    v = amp(spark, d)
+    moved = molecule.offdiagonal(v.withColumn("v", F.col("v").cast("double")), plain_molecule()).groupBy(F.col("det2").alias("det")).agg(F.sum(F.col("el") * F.col("v")).alias("hv"))
+    return V.dot(moved, v, "hv", "v").select(F.round("dot", 3).alias("dot"))
+
+
 # Sequential samplers and methods: no SQL; checked against exact results in the tests ---------------------------------
 
 

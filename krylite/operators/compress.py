@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +21,8 @@ from ..storage import scratch
 REST_NONE = 1e-9
 SUB_REST_NONE = 1e-8
 SUB_TINY = 1e-12
+#: Rows of a vector that one window runs over.
+FEW_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -40,7 +43,8 @@ def head_start(sizes: DataFrame, m: int, size: str) -> tuple[int, float | int, f
     from some size on being at most that size, the falling threshold can't stop above it.
     """
     bucket = F.floor(F.log2(F.col(size).cast("double")) * 4).cast("int")
-    found = sizes.where(F.col(size) > 0).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.sum(size).alias("s")).orderBy("b").collect()
+    found = sizes.where(F.col(size) > 0).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.sum(size).alias("s")).collect()
+    found.sort(key=lambda r: r["b"])
     norm = sum(r["s"] for r in found)
     kept, rest, best = sum(r["n"] for r in found), 0, (0, norm)
     rows = kept
@@ -62,15 +66,17 @@ def preserve(df: DataFrame, m: int, value: str = "v") -> Preserved:
     whole = df.schema[value].dataType.typeName() in ("long", "integer", "short", "byte")
     df = scratch(df.where(F.col(value).isNotNull()), "preserve")
     kept, rest, norm, rows = head_start(df.select(size.alias("__size")), m, "__size")
+    cut = None  # the threshold that the kept rows were counted by
     while m > kept and rest > 0:
-        over = size * F.lit(m - kept) >= F.lit(rest) if whole else size >= F.lit(rest / (m - kept))
+        new = Fraction(rest, m - kept) if whole else rest / (m - kept)
+        if cut is not None and new >= cut:  # it falls no more; rounding may even raise it past rows that equal it
+            break
+        over = size * F.lit(new.denominator) >= F.lit(new.numerator) if whole else size >= F.lit(new)
         k, t = df.agg(F.sum(over.cast("long")), F.sum(F.when(~over, size))).first()
         k, t = k or 0, t or 0
         if k >= m:  # every sample is taken by a kept row
             return Preserved(df.withColumn("keep", over), 0, t, norm, rows)
-        same, kept, rest = k == kept, k, t  # kept rows are the largest ones: as many rows are the same rows
-        if same:
-            break
+        kept, rest, cut = k, t, new
     if m <= 0:
         return Preserved(df.withColumn("keep", F.lit(False)), 0, rest, norm, rows)
     left = 0 if rest < REST_NONE else m - kept
@@ -79,7 +85,7 @@ def preserve(df: DataFrame, m: int, value: str = "v") -> Preserved:
     elif rest == 0:
         keep = size > 0
     else:
-        keep = size * F.lit(m - kept) >= F.lit(rest) if whole else size >= F.lit(rest / (m - kept))
+        keep = over
     return Preserved(df.withColumn("keep", keep), left, rest, norm, rows)
 
 
@@ -94,9 +100,12 @@ def range_tree(key: Column, bounds: list, lo: int = 0, hi: int | None = None) ->
 
 def with_prefix(df: DataFrame, order: list[str], amount: Column, name: str = "cum", rows: int = 0, ranges: int | None = None) -> DataFrame:
     """Inclusive prefix sums of `amount` in the order given, over ranges of the first order column: 64, or one for half a
-    million rows up to 512."""
-    ranges = ranges or min(512, max(64, rows // 500_000))
+    million rows up to 512. `rows`, if it is known to be at most FEW_ROWS, makes do with one."""
     df = df.withColumn("__amount", amount)
+    if ranges is None and 0 < rows <= FEW_ROWS:
+        alone = W.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum("__amount").over(alone)).drop("__amount")
+    ranges = ranges or min(512, max(64, rows // 500_000))
     cuts = df.agg(F.percentile_approx(F.col(order[0]), [i / ranges for i in range(1, ranges)], max(1000, 10 * ranges))).first()[0] or []
     df = df.withColumn("__range", range_tree(F.col(order[0]), sorted(set(cuts))))
     sums = df.groupBy("__range").agg(F.sum("__amount").alias("__sum"))

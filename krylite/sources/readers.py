@@ -149,6 +149,8 @@ def read_fcidump(spark: SparkSession, path: str, group: str) -> Molecule:
         raise ValueError("MS2 must be 0")
     n = head["NORB"]
     irreps = convert_irreps([int(x) for x in re.findall(r"\d+", lines[1].split("=", 1)[1])], group)
+    if len(irreps) != n:
+        raise ValueError(f"{len(irreps)} orbital symmetries for {n} orbitals")
     h, eri, core = np.zeros((n, n)), np.zeros((n, n, n, n)), 0.0
     for line in lines[4:]:
         if not line.strip():

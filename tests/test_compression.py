@@ -33,6 +33,14 @@ def test_preserve_equals_greedy(spark):
         assert kept == greedy(v, 25) and p.n_left == 25 - len(kept)
 
 
+def test_preserve_ends_on_equal_magnitudes(spark):
+    """Rows that equal the threshold but for rounding aren't taken and left in turns."""
+    for v, m in (([0.1] * 7 + [0.3] * 3, 10), ([1 / 3] * 28, 28), ([0.1] * 60 + [0.7, 0.2, 0.2], 40), ([5.0] * 4, 4), ([0.0, 0.0], 3)):
+        p = C.preserve(frame(spark, v), m)
+        kept = p.df.where("keep").count()
+        assert kept + p.n_left <= m and (p.rows, len(greedy(v, m)) <= m) == (sum(x > 0 for x in v), True)
+
+
 def test_systematic_equals_sequential(spark):
     rng = np.random.default_rng(2)
     v, r = rng.normal(size=300) ** 3, 0.37

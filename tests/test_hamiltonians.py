@@ -47,6 +47,29 @@ def test_power_iteration_finds_the_ground_state(spark):
     assert abs(e - want) < 1e-8
 
 
+def test_systematic_power_iteration_without_loss(spark):
+    """With samples for all elements the sampled product is the exact one, and the run that of the matrix."""
+    mol = catalog.small_molecule()
+    keys, h = molecule.exact_matrix(mol)
+    e_ref = mol.diagonal(S.positions(mol.reference))
+    out = P.power_systematic(spark, MoleculeModel(mol, e_ref), P.Config(eps=0.05, iterations=2, matrix_nonzero=5000, target_nonzero=1000, shift_interval=100))
+    v = np.zeros(len(keys))
+    v[keys.index(mol.reference)] = 100
+    for _ in range(2):
+        v = v - 0.05 * (h @ v - e_ref * v)
+    got = {r.det: r.v for r in out.vector.collect()}
+    assert np.allclose([got.get(k, 0.0) for k in keys], v, atol=1e-6)
+
+
+def test_elements_of_many_keys():
+    mol = catalog.small_molecule()
+    keys = S.all_strings(4, 2, 2)
+    assert np.allclose(mol.diagonals(np.array(keys)), [mol.diagonal(S.positions(k)) for k in keys])
+    moves = [(k, i, a) for k in keys for i in S.positions(k) for a in range(8) if a // 4 == i // 4 and not k >> a & 1]
+    got = mol.single_elements(*(np.array(x) for x in zip(*moves, strict=True)))
+    assert np.allclose(got, [mol.single_element(i, a, S.positions(k)) for k, i, a in moves])
+
+
 def test_holstein_signs(spark):
     c = hubbard.Chain(2, 2, u=1.0, g=0.5, omega=1.0, ph_bits=1)
     df = spark.createDataFrame([(c.reference, 1.0)], "det long, v double")
