@@ -742,12 +742,42 @@ def molecule_offdiagonal(spark, d):
     return got.where(F.abs("el") > 1e-12).select("det", "det2", F.round("el", 6).alias("el"))
 
 
-@query("molecule_matrix_element", f"SELECT round(sum(x.v * sign * el * y.v), 3) AS dot FROM (SELECT det2, v, sign, el FROM ({SINGLE_ROWS}) UNION ALL SELECT det2, v, sign, el FROM ({DOUBLE_ROWS})) x JOIN ({AMP}) y ON y.det = x.det2")
+@query("molecule_matrix_element", f"SELECT round(sum(x.v * sign * el * y.v) / 1e6, 3) AS dot FROM (SELECT det2, v, sign, el FROM ({SINGLE_ROWS}) UNION ALL SELECT det2, v, sign, el FROM ({DOUBLE_ROWS})) x JOIN ({AMP}) y ON y.det = x.det2")
 def molecule_matrix_element(spark, d):
     """<v| off-diagonal H |v>"""
     v = amp(spark, d)
     moved = molecule.offdiagonal(v.withColumn("v", F.col("v").cast("double")), plain_molecule()).groupBy(F.col("det2").alias("det")).agg(F.sum(F.col("el") * F.col("v")).alias("hv"))
-    return V.dot(moved, v, "hv", "v").select(F.round("dot", 3).alias("dot"))
+    return V.dot(moved, v, "hv", "v").select(F.round(F.col("dot") / 1e6, 3).alias("dot"))
+
+
+DIAGONAL_ROWS = ORACLE["molecule_diagonal"]
+
+
+@query("h_dot", f"SELECT 0 AS i, 0 AS j, round(((SELECT sum(x.v * sign * el * y.v) FROM (SELECT det2, v, sign, el FROM ({SINGLE_ROWS}) UNION ALL SELECT det2, v, sign, el FROM ({DOUBLE_ROWS})) x JOIN ({AMP}) y ON y.det = x.det2) + (SELECT sum(v * v * diagonal) FROM ({AMP}) JOIN ({DIAGONAL_ROWS}) USING (det))) / 1e6, 3) AS dot")
+def h_dot(spark, d):
+    """<u| H |v>, with H applied to u."""
+    v = amp(spark, d).withColumn("v", F.col("v").cast("double"))
+    got = molecule.h_dot(v, v, plain_molecule(), ["v"], ["v"])
+    return got.select("i", "j", F.round(F.col("dot") / 1e6, 3).alias("dot"))
+
+
+@query("vector_dots", f"""WITH x AS (SELECT 'a' AS name, det, v FROM ({VEC}) UNION ALL SELECT 'b' AS name, det, v FROM ({VEC2}) UNION ALL SELECT 'c' AS name, det, v FROM ({SPAWN}))
+SELECT p.name AS first, q.name AS second, CAST(sum(p.v * q.v) AS BIGINT) AS dot FROM x p JOIN x q ON p.det = q.det AND p.name <= q.name GROUP BY 1, 2""")
+def vector_dots(spark, d):
+    from .plans.methods import vector_dots as dots
+
+    return dots({"a": vec(spark, d), "b": vec2(spark, d), "c": spawned(spark, d)})
+
+
+@query("collapse_groups", f"SELECT det, v0, v1, v0 + v1 AS new FROM ({TWO}) WHERE v0 + v1 <> 0")
+def collapse_groups(spark, d):
+    return C.hits_only(two(spark, d).withColumn("new", F.col("v0") + F.col("v1")))
+
+
+@query("owner_counts", f"SELECT count(*) AS n_keys FROM ({VEC})")
+def owner_counts(spark, d):
+    """Keys by owner, summed up again: every key has one."""
+    return V.bucket_sizes(vec(spark, d), 16).agg(F.sum("n").alias("n_keys"))
 
 
 # Sequential samplers and methods: no SQL; checked against exact results in the tests ---------------------------------

@@ -328,7 +328,11 @@ def observable(spark: SparkSession, model: MoleculeModel, cfg: Config, des: int,
     return RunResult(out, vecs[0].df, 0.0)
 
 
-def vector_dots(vectors: dict[str, DataFrame]) -> list[tuple[str, str, float]]:
-    """All pairwise dots of vector files."""
-    names = list(vectors)
-    return [(a, b, float(V.dot(vectors[a], vectors[b]).first()[0])) for i, a in enumerate(names) for b in names[i:]]
+def vector_dots(vectors: dict[str, DataFrame]) -> DataFrame:
+    """All pairwise dots of named vectors (det, v): first, second, dot, from one join by key."""
+    rows = None
+    for name, vec in vectors.items():
+        part = vec.select(F.lit(name).alias("name"), "det", "v")
+        rows = part if rows is None else rows.unionByName(part)
+    both = rows.withColumnRenamed("name", "first").join(rows.select(F.col("name").alias("second"), "det", F.col("v").alias("w")), "det").where("first <= second")
+    return both.groupBy("first", "second").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
