@@ -50,11 +50,22 @@ def autocorrelation_time(values: np.ndarray, c: float = 2.0) -> float:
 
 
 def summary(num: DataFrame, den: DataFrame, burn_in: int, exact: float = 0.0, order: str = "iter") -> dict:
-    """Ratio, its error against `exact`, two standard deviations, autocorrelation time and efficiency."""
+    """Ratio, its error against `exact`, two standard deviations, autocorrelation time and efficiency.
+
+    The series stays on the executors: lags are summed there, more of them until the window of the time estimate closes.
+    """
     pairs = aligned(num, den, burn_in, order)
-    rows = residuals(pairs, order).orderBy(order).toPandas()
     means = pairs.agg(F.avg("num"), F.avg("den"), F.count("*")).first()
-    var, tau = float(np.var(rows["residual"])), autocorrelation_time(rows["residual"].to_numpy())
+    series, lags = residuals(pairs, order), 64
+    while True:
+        lags = min(lags, max(0, means[2] - 1))
+        cov = {r["lag"]: r["cov"] for r in autocovariance(series, lags, "residual", order).collect()}  # a row for each lag
+        var = float(cov.get(0, 0.0))
+        rho = np.array([cov.get(k, 0.0) / var if var else 0.0 for k in range(lags + 1)])
+        if lags >= means[2] - 1 or (np.arange(len(rho)) >= 2.0 * (2 * np.cumsum(rho) - 1)).any():
+            break
+        lags *= 4
+    tau = integrated_time(rho) if var else 1.0
     ratio = means[0] / means[1]
     return {"ratio": ratio, "error": ratio - exact, "two_sigma": 2 * np.sqrt(var * tau / means[2]), "tau": tau, "efficiency": 1 / (var * tau) if var else float("inf")}
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import TRAJECTORY
+from ..storage import shared_dir
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -23,8 +26,19 @@ def windowed(events: DataFrame, ts: str, value: str, length: str, late: str) ->
 
 
 def drain(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Process what is there and return the result table."""
+    """Process what is there and return the result table, written to the shared folder: the last whole result in complete
+    mode, all rows in append mode."""
     spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    path = f"{shared_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    done: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")  # a batch that runs again replaces itself
+        done.append(number)
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not done:
+        return spark.createDataFrame([], stream.schema)
+    kept = done[-1:] if mode == "complete" else sorted(set(done))
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/{k}" for k in kept])
