@@ -120,11 +120,12 @@ def walker_spawn(vec: DataFrame, model: MoleculeModel, cfg: Config, it: int, who
 SPAWN = {"exact": exact_spawn, "chain": chain_spawn, "heat_bath": heat_bath_spawn, "multinomial": multinomial_spawn, "walkers": walker_spawn, "float_walkers": lambda v, m, c, i: walker_spawn(v, m, c, i, False)}
 
 
-def ground_state(spark: SparkSession, model: Model, cfg: Config, spawn: str = "exact", trial: DataFrame | None = None, dense: DataFrame | None = None, initial: DataFrame | None = None, shift: float = 0.0) -> RunResult:
+def ground_state(spark: SparkSession, model: Model, cfg: Config, spawn: str = "exact", trial: DataFrame | None = None, dense: DataFrame | None = None, initial: DataFrame | None = None, shift: float = 0.0, last: float = 0.0, first: int = 0) -> RunResult:
     """v <- v - eps (H - S) v with sampled H, then compression to the target.
 
     Covers walkers (whole or not; no vector compression, shift control by norm), multinomial, systematic heat-bath and
     exact products, with an optional dense subspace whose block is applied exactly. The estimator is <H T|v> / <T|v>.
+    `initial`, `shift`, `last` (the norm that the shift remembers) and `first` (iterations done) continue a run.
     """
     vec = Saved(initial if initial is not None else start(spark, model, cfg), "vec")
     trial = Saved(trial if trial is not None else spark.createDataFrame([(model.reference, 1.0)], "det long, v double"), "trial")
@@ -134,8 +135,8 @@ def ground_state(spark: SparkSession, model: Model, cfg: Config, spawn: str = "e
         dense = Saved(dense.select("det").distinct(), "dense")
         block = Saved(model.offdiagonal(dense.df).join(dense.df.withColumnRenamed("det", "det2"), "det2", "left_semi").select(F.col("det").alias("src"), F.col("det2").alias("dst"), (F.col("el") * -cfg.eps).alias("val")), "block")
     walkers = spawn in ("walkers", "float_walkers")
-    last, out = 0.0, []
-    for it in range(cfg.iterations):
+    out = []
+    for it in range(first, cfg.iterations):
         with scope():  # what a step writes on its way goes with it
             diag = model.diagonal()
             adds = SPAWN[spawn](vec.df, model, cfg, it)
@@ -176,6 +177,23 @@ def ground_state(spark: SparkSession, model: Model, cfg: Config, spawn: str = "e
     return RunResult(out, vec.df, shift)
 
 
+def resume(spark: SparkSession, model: Model, cfg: Config, spawn: str = "exact", **more) -> RunResult:
+    """Go on with the run cfg.run from its last saved vector, shift and norm, up to cfg.iterations in all.
+
+    Random numbers depend on the seed and the iteration, so the rest is the one that the run would have had.
+    """
+    from ..sources.readers import read_checkpoint
+    from ..sources.writers import load_state
+
+    if not cfg.save_path:
+        raise ValueError("the run names no save_path")
+    state = load_state(spark, cfg.save_path + "/state", cfg.run)
+    if state is None:
+        raise ValueError(f"no state of run {cfg.run!r}")
+    vec = read_checkpoint(spark, cfg.save_path + "/vector", state["iter"], least=0.0)
+    return ground_state(spark, model, cfg, spawn, initial=vec.select("det", "v"), shift=state["shift"], last=state["last_norm"], first=state["iter"], **more)
+
+
 def apply_h(vec: DataFrame, model: Model, value: str = "v") -> DataFrame:
     off = model.offdiagonal(vec.select("det", value)).select(F.col("det2").alias("det"), (F.col("el") * F.col(value)).alias(value))
     own = vec.select("det", (model.diagonal() * F.col(value)).alias(value))

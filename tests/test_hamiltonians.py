@@ -61,6 +61,19 @@ def test_systematic_power_iteration_without_loss(spark):
     assert np.allclose([got.get(k, 0.0) for k in keys], v, atol=1e-6)
 
 
+def test_run_goes_on_from_its_last_save(spark, tmp_path):
+    model = ChainModel(hubbard.Chain(4, 4, u=2.0))
+    cfg = lambda n, path: P.Config(eps=0.1, iterations=n, target_nonzero=20, shift_interval=1, save_every=2, save_path=path, seed=3)
+    whole = P.chain_exact(spark, model, cfg(4, None))
+    P.chain_exact(spark, model, cfg(2, str(tmp_path / "run")))
+    rest = P.resume(spark, model, cfg(4, str(tmp_path / "run")))
+    assert [i for _, i, m, _ in rest.trajectory if m == "norm"] == [2, 3] and abs(rest.shift - whole.shift) < 1e-9
+    a, b = ({r.det: r.v for r in x.vector.collect()} for x in (whole, rest))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    with pytest.raises(ValueError):
+        P.resume(spark, model, cfg(4, None))
+
+
 def test_elements_of_many_keys():
     mol = catalog.small_molecule()
     keys = S.all_strings(4, 2, 2)
