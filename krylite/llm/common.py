@@ -161,8 +161,8 @@ def thinned(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return maybe_in(df, key, bitmap(keys, key, width), width)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """A narrow table of so many rows, to be broadcast if they are few and joined as Spark sees fit if not."""
+def small(df: DataFrame, rows: int, most: int = FEW_ROWS) -> DataFrame:
+    """A narrow table of so many rows, to be broadcast if they are few, and joined by a sort if not."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if rows <= FEW_ROWS else df
+    return F.broadcast(df) if rows <= most else df.hint("merge")

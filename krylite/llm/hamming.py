@@ -32,6 +32,8 @@ from .common import materialize, release, small
 WIDEST = 32
 #: Values that a query looks up in a segment at a radius, at most; beyond that all codes are compared.
 MOST_FLIPS = 200_000
+#: Rows up to which the table of codes by segment is broadcast, some 30 MB; the values to look up never are.
+LISTED = 300_000
 #: Codes and queries of a block where all are compared.
 BLOCK_CODES, BLOCK_QUERIES = 65_536, 1024
 
@@ -61,8 +63,8 @@ def classes_of(rows: DataFrame, key: str, width: int, most: int) -> DataFrame:
     return got.select("bits", F.length("bits").alias("width"), code.alias("code"), "ids", F.col("ids")[0].alias("rep"))
 
 
-def probes(active: DataFrame, width: int, radius: int) -> DataFrame:
-    """rep, width, code, segment and value: what each query looks up at this radius."""
+def probes(active: DataFrame, width: int, radius: int, parts: int) -> DataFrame:
+    """rep, width, code, segment and value: what each query looks up at this radius, dealt to so many tasks."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = T.StructType([*(active.schema[c] for c in ("rep", "width", "code")), T.StructField("segment", T.IntegerType()), T.StructField("value", T.LongType())])
@@ -85,7 +87,7 @@ def probes(active: DataFrame, width: int, radius: int) -> DataFrame:
                         cols += [pa.array(np.full(len(values), j, np.int32)), pa.array(values)]
                         yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    return active.select("rep", "width", "code").mapInArrow(run, schema)
+    return active.select("rep", "width", "code").repartition(parts, "rep").mapInArrow(run, schema)
 
 
 def bits_apart(a: str, b: str) -> F.Column:
@@ -152,8 +154,10 @@ def nearest(codes: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
             done = best.join(active.select("rep", "width"), ["rep", "width"], "left_anti") if best is not None else None
             best = rest if done is None else rest.unionByName(done.select(rest.columns))
             break
-        asks = probes(active, w, radius).withColumnsRenamed({"rep": "__rep", "code": "__code"})
-        met = asks.join(small(index, listed), ["width", "segment", "value"]).withColumn("__d", bits_apart("__code", "code"))
+        # a task for each core, more if they would look up over a million values each
+        parts = max(codes.sparkSession.sparkContext.defaultParallelism, left * (64 // w + 1) * comb(w, radius) // 1_000_000)
+        asks = probes(active, w, radius, min(parts, left)).withColumnsRenamed({"rep": "__rep", "code": "__code"})
+        met = asks.join(small(index, listed, LISTED), ["width", "segment", "value"]).withColumn("__d", bits_apart("__code", "code"))
         earlier = F.exists(F.transform("__d", lambda d, i: (d < radius) | ((d == radius) & (i < F.col("segment")))), lambda x: x)
         found = met.where(~earlier).select(F.col("__rep").alias("rep"), "width", F.col("rep").alias("other"), F.aggregate("__d", F.lit(0), lambda x, y: x + y).alias("distance"), "n")
         known = found if best is None else found.unionByName(best)
