@@ -110,7 +110,7 @@ def shingle_sets(texts: pa.Array, n: int = 3) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         flat, at = _words[0].cut(data, start - start[0])
         total = np.zeros(len(flat), np.uint64)
-        for j in range(n):
+        for j in range(min(n, len(flat))):
             total[: len(flat) - j] = mix(total[: len(flat) - j] * np.uint64(0x9E3779B97F4A7C15) + flat[j:] + np.uint64(j + 1))
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             k = b - a

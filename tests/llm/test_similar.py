@@ -74,6 +74,15 @@ def test_join_equals_brute_force(spark):
         assert got[i].component_id == order[want[k]], (i, k)
 
 
+def test_few_words_at_a_time():
+    for n in (1, 3, 5):
+        for text in ("", "a", "a b", "a b c", "a b c d", "a b c d e", "a b c d e f"):
+            got = jaccard_join.shingle_sets(pa.array([text]), n)[0]
+            together = jaccard_join.shingle_sets(pa.array(["x y z", text, None, "u v w x y z"]), n)[1]
+            k = len(text.split())
+            assert len(got) == (max(1, k - n + 1) if k else 0) and (got == together).all()
+
+
 def test_join_edges(spark):
     df = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (7, "a b c d"), (8, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in jaccard_join.jaccard_classes(df).collect()}
