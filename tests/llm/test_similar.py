@@ -172,6 +172,32 @@ def test_codes_with_copies_and_widths(spark):
             assert list(zip(own.distance, own.neighbour_id, strict=True)) == want, q
 
 
+def test_values_are_formed_next_to_the_lists(spark, monkeypatch):
+    assert [hamming.segments(*x) for x in ((64, 24), (64, 16), (9, 5), (0, 4))] == [[(0, 22), (22, 21), (43, 21)], [(0, 16), (16, 16), (32, 16), (48, 16)], [(0, 5), (5, 4)], [(0, 0)]]
+    for name, value in (("PART_CODES", 40), ("PART_QUERIES", 20), ("AT_ONCE", 300), ("PLACES", 6)):
+        monkeypatch.setattr(hamming, name, value)
+    asked, whole = [], hamming.looked_up
+
+    def counted(index, asks, *more):
+        asked.append((asks.count(), index.count()))
+        return whole(index, asks, *more)
+
+    monkeypatch.setattr(hamming, "looked_up", counted)
+    rng = np.random.default_rng(6)
+    b = rng.integers(0, 2, (900, 70))
+    b[:300, :40] = 0  # very many codes with one value
+    b[300:330] = b[300]
+    codes = spark.createDataFrame([(i, "".join(map(str, x))) for i, x in enumerate(b.tolist())], "vec_id long, bits string").repartition(3)
+    got = hamming.nearest(codes, codes.where("vec_id % 20 = 0"), 5, width=18).toPandas()
+    assert len(got) == 45 * 5
+    for q in range(0, 900, 20):
+        want = sorted((int((b[i] != b[q]).sum()), i) for i in range(900) if i != q)[:5]
+        own = got[got.query_id == q].sort_values("rank")
+        assert list(zip(own.distance, own.neighbour_id, strict=True)) == want, q
+    # a query is a row for each part at most, at any radius
+    assert asked and all(rows <= 45 * parts for rows, parts in asked)
+
+
 # shards --------------------------------------------------------------------------------------------------------------
 
 
