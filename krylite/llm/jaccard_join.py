@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,8 +54,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Fingerprints of words, from the bytes of many texts at once: sums of random numbers, one for each byte, times the
-    powers of an odd number by place. Prefix sums give every word's sum, and the inverse power moves it to place 0."""
+    """Fingerprints of words, from the bytes of many texts at once: sums of mixed random numbers, one for each byte and
+    its place in the word. Sums of powers won't do: modulo 2 ** 64 they are alike for some long words of two letters."""
 
     def __init__(self) -> None:
         rng = np.random.default_rng(20_240_229)
@@ -62,17 +63,6 @@ class Words:
         self.of_byte[65:91] = self.of_byte[97:123]  # A-Z as a-z
         self.space = np.zeros(256, bool)
         self.space[[9, 10, 11, 12, 13, 32]] = True
-        self.power, self.inverse = self.powers(2 * SLICE)
-
-    @staticmethod
-    def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-        base = 0xD6E8FEB86659FD93
-        out = []
-        for x in (base, pow(base, -1, 1 << 64)):
-            p = np.full(n, x, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p))
-        return out[0], out[1]
 
     def cut(self, data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words of texts that lie one after another: their fingerprints, and before which word each text begins.
@@ -80,7 +70,6 @@ class Words:
         n = len(data)
         if n == 0:
             return np.empty(0, np.uint64), np.zeros(len(start), np.int64)
-        power, inverse = (self.power, self.inverse) if n <= len(self.power) else self.powers(n)
         gap = np.empty(n + 1, bool)
         white = self.space[data]
         gap[1:], gap[0] = white, True
@@ -88,10 +77,14 @@ class Words:
         edge[start] = True  # a word ends with its text
         first = np.flatnonzero(~white & edge[:-1])
         last = np.flatnonzero(~white & np.append(white[1:] | edge[1:-1], True)) + 1
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.of_byte[data] * power[:n], out=total[1:])
-        h = (total[last] - total[first]) * inverse[first]
-        return mix(h + (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.searchsorted(first, start)
+        length = last - first
+        end = np.cumsum(length)
+        inside = data[~white]
+        place = np.arange(len(inside)) - np.repeat(end - length, length)
+        total = np.zeros(len(inside) + 1, np.uint64)
+        np.cumsum(mix(self.of_byte[inside] + place.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), out=total[1:])
+        h = total[end] - total[end - length]
+        return mix(h + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.searchsorted(first, start)
 
 
 _words: list[Words] = []
@@ -292,21 +285,21 @@ def sign(docs: DataFrame, sent: Broadcasts, n: int, percent: int) -> DataFrame:
 
 
 def fragments(docs: DataFrame, sent: Broadcasts, n: int, cuts: int) -> DataFrame:
-    """The sets cut along the global order: (sid, fragment, tokens). Rare n-grams fall into `cuts` equal ranges of their
-    fingerprints, frequent ones into as many again."""
-    schema = T.StructType([T.StructField("sid", T.LongType()), T.StructField("fragment", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType(), False))])
+    """The sets cut along the global order: (sid, task, fragment, tokens), each set once a task. Rare n-grams fall into
+    `cuts` equal ranges of their fingerprints, frequent ones into as many again."""
+    schema = T.StructType([T.StructField("sid", T.LongType()), T.StructField("task", T.IntegerType()), T.StructField("fragment", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType(), False))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        table = sent.table()
+        table, seen, task = sent.table(), set(), TaskContext.get().partitionId()
         for _, sets in batches_of_sets(batches, n):
             sids, numbers, tokens = [], [], []
             for s in sets:
-                if not len(s):
+                if not len(s) or (sid := fingerprint(s)) in seen:
                     continue
-                sid = fingerprint(s)
+                seen.add(sid)
                 ordered, level = in_order(s, table)
                 part = (ordered >> np.uint64(32)).astype(np.int64) * cuts >> 32
                 part += cuts * (level > 0)
@@ -317,16 +310,17 @@ def fragments(docs: DataFrame, sent: Broadcasts, n: int, cuts: int) -> DataFrame
             if sids:
                 offsets = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)))
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(numbers, pa.int32()), lists.cast(arrow.field("tokens").type)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(np.full(len(sids), task, np.int32)), pa.array(numbers, pa.int32()), lists.cast(arrow.field("tokens").type)], schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, sent: Broadcasts, n: int, percent: int, cuts: int) -> DataFrame:
-    """The pairs (a, b, ra, rb, na, nb: sets, their documents, their sizes) that reach the threshold, as links (ra, rb).
+    """The pairs (a, b, ra, rb, na, nb: sets, their documents, their sizes) that reach the threshold, as links (a, b).
 
     Partial overlaps are counted per fragment and summed per pair. A set b with many partners has copies of its
-    fragments, one for so many of them, and so isn't one task's work.
+    fragments, one for so many of them, and so isn't one task's work. Rows that repeat, and copies that a bitmap lets
+    through, give a set's fragments again; those of one task are taken, or overlaps would be counted twice.
     """
     ends = pairs.select(F.col("ra").alias("id")).union(pairs.select("rb"))
     ends = materialize(ends.distinct(), "jac-ends")
@@ -340,13 +334,16 @@ def verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, sent: Broadcast
     needed = materialize(chosen.select(F.col("ra").alias("id")).union(chosen.select("rb")).distinct(), "jac-needed")
     parts = materialize(fragments(thinned(docs, "id", needed), sent, n, cuts), "jac-fragments")
     few = chosen.count()
-    left = parts.join(small(chosen.drop("copies"), few), F.col("sid") == F.col("a")).select("a", "b", "copy", "fragment", "ra", "rb", "na", "nb", F.col("tokens").alias("ta"))
+    of_set = parts.select("sid", "task").distinct().groupBy("sid").agg(F.min("task").alias("first"), F.count("*").alias("tasks"))
+    again = materialize(of_set.where("tasks > 1").select("sid", "first"), "jac-again")
+    once = parts.join(small(again, again.count()), "sid", "left").where("first is null or task = first")
+    left = once.join(small(chosen.drop("copies"), few), F.col("sid") == F.col("a")).select("a", "b", "copy", "fragment", "ra", "rb", "na", "nb", F.col("tokens").alias("ta"))
     spread = chosen.select("b", "copies").distinct().withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-    right = parts.join(small(spread, few), F.col("sid") == F.col("b")).select("b", "copy", "fragment", F.col("tokens").alias("tb"))
+    right = once.join(small(spread, few), F.col("sid") == F.col("b")).select("b", "copy", "fragment", F.col("tokens").alias("tb"))
     partial = left.join(right, ["b", "copy", "fragment"]).select("a", "b", "ra", "rb", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("overlap"))
     total = partial.groupBy("a", "b", "ra", "rb", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    out = materialize(total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("ra", "rb"), "jac-links")
-    for x in (parts, needed, chosen, sizes, ends):
+    out = materialize(total.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"), "jac-links")
+    for x in (parts, again, needed, chosen, sizes, ends):
         release(x)
     return out
 
@@ -360,7 +357,7 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
 
     Two texts link when 100 * |A & B| >= percent * |A | B| of their n-gram sets. Null and empty texts and texts of white
     space have 0 n-grams and stand alone; a text of fewer than n words has one n-gram, its whole sequence. Keys are
-    integers and taken as distinct; a null key has a null component. Equal texts are linked, whatever their number; an
+    integers; rows that repeat a key are documents of their own; a null key has a null component. Equal texts are linked, whatever their number; an
     empty table gives no rows; other columns are ignored. Texts are read whole.
     """
     if not 0 < percent <= 100:
@@ -393,8 +390,8 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     links = verified(first, docs, rows, sent, n, percent, cuts)
 
     # n-grams that still have different components: all pairs between those
-    comp = components(links, "ra", "rb")
-    placed = held.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    comp = components(links)
+    placed = held.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     placed = materialize(placed.select("token", "sid", "rep", "n", "pos", "component"), "jac-placed")
     split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     split = materialize(split, "jac-split")
@@ -413,12 +410,16 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     found = comp
     if second.limit(1).count():
         more = verified(second, docs, rows, sent, n, percent, cuts)
-        found = components(links.unionByName(more), "ra", "rb")
+        found = components(links.unionByName(more))
         release(more)
     for x in (held, first, placed, split, apart, second, links):
         release(x)
-    result = rows.select("id", "n", "sid").join(classes.select("sid", "rep"), "sid", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return result.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
+    # sets are the nodes, so rows of one id with different texts stay apart; a component's name is its smallest id
+    nodes = found.withColumnRenamed("node", "sid")
+    least = nodes.join(classes.select("sid", "rep"), "sid").groupBy("component").agg(F.min("rep").alias("least"))
+    named = classes.select("sid", "rep").join(nodes.join(least, "component").select("sid", "least"), "sid", "left")
+    result = rows.select("id", "n", "sid").join(named, "sid", "left")
+    return result.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("least", "rep", "id")).alias("component_id"))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

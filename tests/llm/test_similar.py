@@ -74,6 +74,56 @@ def test_join_equals_brute_force(spark):
         assert got[i].component_id == order[want[k]], (i, k)
 
 
+def test_rows_that_repeat_add_no_overlap(spark):
+    base = [f"w{i}" for i in range(102)]
+    other, third = list(base), list(base)
+    other[50] = other[53] = "x"  # Jaccard 94 / 106: no link, unless n-grams are counted twice
+    third[20] = "y"  # 97 / 103: a link
+    texts = [" ".join(x) for x in (base, other, third, ["a", "b", "c", "d"])]
+    rows = [(9, texts[0])] * 4 + [(4, texts[1])] * 3 + [(7, texts[2]), (7, texts[3]), (7, texts[2])]
+    rows += [(100 + i, texts[0]) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.jaccard_classes(df).collect()
+    assert len(got) == len(rows) and len({(r.doc_id, r.n_shingles, r.component_id) for r in got}) == 4 + 30
+    for r in got:
+        want = {9: {(100, 7)}, 4: {(100, 4)}, 7: {(100, 7), (2, 7)}}.get(r.doc_id, {(100, 7)})
+        assert (r.n_shingles, r.component_id) in want, r
+
+
+def test_fragments_of_copies_are_taken_once(spark):
+    base = [f"w{i}" for i in range(102)]
+    other = list(base)
+    other[50] = other[53] = "x"
+    low = [f"v{i}" for i in range(102)]
+    rows = [(5, " ".join(low)), (3, " ".join(base)), (2, " ".join(base)), (1, " ".join(other)), (0, " ".join(other))]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    sent = jaccard_join.Broadcasts(spark, np.zeros(1 << jaccard_join.BUCKET_BITS, np.uint8))
+    made = jaccard_join.sign(docs, sent, 3, 90).where("kind = 0").cache()
+    sid = {r.id: r.sid for r in made.collect()}
+    pairs = spark.createDataFrame([(sid[3], sid[1], 2, 0, 100, 100)], "a long, b long, ra long, rb long, na int, nb int")
+    everything = lambda df, key, keys: df  # noqa: E731  as if the bitmap let all copies through
+    kept, jaccard_join.thinned = jaccard_join.thinned, everything
+    try:
+        assert jaccard_join.verified(pairs, docs, made, sent, 3, 90, 2).count() == 0
+    finally:
+        jaccard_join.thinned = kept
+
+
+def test_rows_with_one_id_stay_apart(spark):
+    near = [f"w{i}" for i in range(60)]
+    rows = [(3, " ".join(near)), (5, " ".join([*near, "z"])), (5, "quite another text that links with nothing"), (6, "quite another text that links with nothing")]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(3, 58): 3, (5, 59): 3, (5, 5): 5, (6, 5): 5}
+
+
+def test_long_words_of_two_letters_differ():
+    word = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for n in (1, 3):
+        x, y = jaccard_join.shingle_sets(pa.array([word, other]), n)
+        assert len(x) == len(y) == 1 and x[0] != y[0]
+
+
 def test_few_words_at_a_time():
     for n in (1, 3, 5):
         for text in ("", "a", "a b", "a b c", "a b c d", "a b c d e", "a b c d e f"):
