@@ -75,10 +75,10 @@ def test_join_equals_brute_force(spark):
 
 
 def test_rows_that_repeat_add_no_overlap(spark):
-    base = [f"w{i}" for i in range(102)]
+    base = [f"w{i}" for i in range(2000)]
     other, third = list(base), list(base)
-    other[50] = other[53] = "x"  # Jaccard 94 / 106: no link, unless n-grams are counted twice
-    third[20] = "y"  # 97 / 103: a link
+    other[10::54] = [f"x{i}" for i in range(37)]  # Jaccard 1887 / 2109: no link, unless n-grams are counted twice
+    third[20] = "y"  # 1995 / 2001: a link
     texts = [" ".join(x) for x in (base, other, third, ["a", "b", "c", "d"])]
     rows = [(9, texts[0])] * 4 + [(4, texts[1])] * 3 + [(7, texts[2]), (7, texts[3]), (7, texts[2])]
     rows += [(100 + i, texts[0]) for i in range(30)]
@@ -86,21 +86,21 @@ def test_rows_that_repeat_add_no_overlap(spark):
     got = jaccard_join.jaccard_classes(df).collect()
     assert len(got) == len(rows) and len({(r.doc_id, r.n_shingles, r.component_id) for r in got}) == 4 + 30
     for r in got:
-        want = {9: {(100, 7)}, 4: {(100, 4)}, 7: {(100, 7), (2, 7)}}.get(r.doc_id, {(100, 7)})
+        want = {9: {(1998, 7)}, 4: {(1998, 4)}, 7: {(1998, 7), (2, 7)}}.get(r.doc_id, {(1998, 7)})
         assert (r.n_shingles, r.component_id) in want, r
 
 
 def test_fragments_of_copies_are_taken_once(spark):
-    base = [f"w{i}" for i in range(102)]
+    base = [f"w{i}" for i in range(2000)]
     other = list(base)
-    other[50] = other[53] = "x"
-    low = [f"v{i}" for i in range(102)]
+    other[10::54] = [f"x{i}" for i in range(37)]  # Jaccard 1887 / 2109
+    low = [f"v{i}" for i in range(2000)]
     rows = [(5, " ".join(low)), (3, " ".join(base)), (2, " ".join(base)), (1, " ".join(other)), (0, " ".join(other))]
     docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
     sent = jaccard_join.Broadcasts(spark, np.zeros(1 << jaccard_join.BUCKET_BITS, np.uint8))
     made = jaccard_join.sign(docs, sent, 3, 90).where("kind = 0").cache()
     sid = {r.id: r.sid for r in made.collect()}
-    pairs = spark.createDataFrame([(sid[3], sid[1], 2, 0, 100, 100)], "a long, b long, ra long, rb long, na int, nb int")
+    pairs = spark.createDataFrame([(sid[3], sid[1], 2, 0, 1998, 1998)], "a long, b long, ra long, rb long, na int, nb int")
     everything = lambda df, key, keys: df  # noqa: E731  as if the bitmap let all copies through
     kept, jaccard_join.thinned = jaccard_join.thinned, everything
     try:
