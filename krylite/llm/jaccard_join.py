@@ -11,8 +11,9 @@ fingerprints bound its overlap from above: the smaller one of each range, summed
 
 The result is whole without listing all pairs of a group of near copies. First every class is compared with one hub of
 each of its prefix n-grams; that joins most of a group. Then every prefix n-gram that still has classes of different
-components gives all pairs between different components, and those are compared as well. A pair that is never compared
-lies within one component, or shares too few prefix n-grams and so can't reach the threshold.
+components gives the pairs between different components whose first common n-gram it may be: those with enough n-grams
+left from there on. They are compared as well. A pair that is never compared lies within one component, or has too few
+n-grams behind its first common one and so can't reach the threshold.
 
 N-grams and their sets are compared by 64-bit fingerprints.
 """
@@ -26,7 +27,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -352,6 +352,36 @@ def similar_sizes(percent: int) -> F.Column:
     return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
 
+def largest_partner(n: str, pos: str, percent: int) -> F.Column:
+    """Size of the largest set that one of n n-grams may link with, if they have none in common ahead of position `pos`."""
+    return F.floor(((100 + percent) * (F.col(n) - F.col(pos)).cast("long") - percent * F.col(n).cast("long")) / percent)
+
+
+def between_components(placed: DataFrame) -> DataFrame:
+    """The pairs (a, b, ra, rb, na, nb) of sets of different components that may reach the threshold, from rows of token,
+    sid, rep, n, most (largest_partner) and component.
+
+    All that linked sets have in common stands at their first common n-gram or behind it, in both. So at one n-gram at
+    least, both are small enough for each other: n <= most. That is asked of each set and the n-gram's smallest n and
+    largest most, then of each two components, and only then of two sets. So a large group of near copies, where most
+    are of one component and the others begin with n-grams of their own, doesn't give all its pairs.
+    """
+    split = placed.groupBy("token").agg(F.min("n").alias("lo"), F.max("most").alias("hi"), F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other").select("token", "lo", "hi")
+    split = materialize(split, "jac-split")
+    apart = thinned(placed, "token", split).join(split, "token").where("lo <= most and n <= hi").select(placed.columns)
+    apart = materialize(apart, "jac-apart")
+    ranges = apart.groupBy("token", "component").agg(F.min("n").alias("lo"), F.max("most").alias("hi"))
+    side = lambda df, x: df.select("token", *[F.col(c).alias(f"{k}{x}") for c, k in (("component", "c"), ("sid", ""), ("rep", "r"), ("n", "n"), ("most", "m"), ("lo", "l"), ("hi", "h")) if c in df.columns])
+    both = side(ranges, "a").join(side(ranges, "b"), "token").where("ca < cb and la <= hb and lb <= ha").select("token", "ca", "cb", "lb", "hb")
+    both = materialize(both, "jac-components")
+    some = both.join(side(apart, "a"), ["token", "ca"]).where("na <= hb and lb <= ma").drop("lb", "hb")
+    cross = some.join(side(apart, "b"), ["token", "cb"]).where("na <= mb and nb <= ma").select("a", "b", "ra", "rb", "na", "nb").distinct()
+    out = materialize(cross, "jac-cross")
+    for x in (split, apart, both):
+        release(x)
+    return out
+
+
 def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90, cuts: int = 2) -> DataFrame:
     """One row per row of `df`: key, n_shingles, component_id.
 
@@ -389,30 +419,19 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     first = materialize(pairs.where(similar_sizes(percent) & (F.col("a") != F.col("b"))), "jac-pairs")
     links = verified(first, docs, rows, sent, n, percent, cuts)
 
-    # n-grams that still have different components: all pairs between those
+    # n-grams that still have different components: pairs between those
     comp = components(links)
     placed = held.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    placed = materialize(placed.select("token", "sid", "rep", "n", "pos", "component"), "jac-placed")
-    split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    split = materialize(split, "jac-split")
-    # ahead of an n-gram, only those others count that other components have as well
-    apart = thinned(placed, "token", split).join(split, "token").withColumn("rank", F.row_number().over(W.partitionBy("sid").orderBy("pos")) - 1)
-    apart = materialize(apart, "jac-apart")
-    side = lambda x: apart.select("token", *[F.col(c).alias(f"{k}{x}") for c, k in (("sid", ""), ("rep", "r"), ("n", "n"), ("pos", "p"), ("rank", "k"), ("component", "c"))])
-    most = F.least("ka", "kb") + 1 + F.least(F.col("na") - F.col("pa") - 1, F.col("nb") - F.col("pb") - 1)
-    reach = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
-    cross = side("a").join(side("b"), "token").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & similar_sizes(percent) & reach)
-    # of the prefixes, the one that ends first in the order holds every common n-gram up to there
-    behind = lambda k: F.col(k) - prefix_size(F.col(k), percent)
-    cross = cross.groupBy("a", "b", "ra", "rb", "na", "nb").agg(F.count("*").alias("met")).where((100 + percent) * (F.col("met") + F.greatest(behind("na"), behind("nb"))) >= percent * (F.col("na") + F.col("nb")))
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    placed = materialize(placed.select("token", "sid", "rep", "n", largest_partner("n", "pos", percent).alias("most"), "component"), "jac-placed")
+    cross = between_components(placed)
+    tried = first.select("a", "b").union(first.select("b", "a"))
     second = materialize(cross.join(tried, ["a", "b"], "left_anti").select(first.columns), "jac-pairs")
     found = comp
     if second.limit(1).count():
         more = verified(second, docs, rows, sent, n, percent, cuts)
         found = components(links.unionByName(more))
         release(more)
-    for x in (held, first, placed, split, apart, second, links):
+    for x in (held, first, placed, cross, second, links):
         release(x)
     # sets are the nodes, so rows of one id with different texts stay apart; a component's name is its smallest id
     nodes = found.withColumnRenamed("node", "sid")

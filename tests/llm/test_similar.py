@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from krylite.llm import embedding_dedup, hamming, jaccard_join
 from krylite.llm.components import components
@@ -116,6 +117,38 @@ def test_rows_with_one_id_stay_apart(spark):
     assert got == {(3, 58): 3, (5, 59): 3, (5, 5): 5, (6, 5): 5}
 
 
+def test_near_copies_without_links_are_not_all_paired(spark, monkeypatch):
+    """A large group of near copies, of which most link with none: work in proportion to it, and no link lost."""
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    lists = []
+    for g in range(400):
+        t = list(base)
+        for at in rng.sample(range(len(t)), rng.choice([0, 1, 5, 6, 7, 8])):
+            t[at] = f"x{g}y{at}"
+        lists.append(t)
+        if g % 40 == 0:
+            lists.append(t[:-2] + [f"z{g}"])  # links with the one before, if with no other
+    texts = [" ".join(t) for t in lists]
+    sets = [frozenset(zip(*(t[k:] for k in range(5)), strict=False)) for t in lists]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    want = brute_components(len(sets), links)
+    pairs, kept = [], jaccard_join.materialize
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "jac-apart":  # what meets in an n-gram, and the pairs of components there
+            of_token = out.groupBy("token").agg(F.countDistinct("component").alias("c"))
+            pairs.append((out.count(), of_token.selectExpr("coalesce(sum(c * (c - 1) / 2), 0)").first()[0]))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "materialize", counted)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_classes(df, n=5, percent=80).collect()}
+    assert got == dict(enumerate(want)) and 100 < len(set(want)) < 380
+    assert pairs and all(p <= 20 * len(sets) for _, p in pairs), pairs
+
+
 def test_long_words_of_two_letters_differ():
     word = "".join("ab"[i.bit_count() & 1] for i in range(2048))
     other = word.translate(str.maketrans("ab", "ba"))
